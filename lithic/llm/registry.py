@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, sharding
+from . import bpe, exact_dedup, langid, line_dedup, packing, quality, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_pu_quality": quality.op1,
         "op2_exact_dedup": exact_dedup.op2,
         "op3_byte_bpe": bpe.op3,
+        "op5_line_dedup": line_dedup.op5,
         "op7_histogram_shards": sharding.op7,
+        "op9_centroid_language": langid.op9,
         "op10_best_fit_packing": packing.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}

@@ -22,7 +22,7 @@ SHARDS = 16
 TOLERANCE = 1e-3
 BITS = 7
 CELL_ROWS = 200_000
-WIDTH = 63
+WIDTH = 62
 
 
 def _histogram(rows: DataFrame, key: str, spans: list[tuple[int, int]]) -> dict[tuple[int, int], dict[int, Row]]:

@@ -79,14 +79,14 @@ def _clean() -> None:
             return
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20):
-    """Yield (first row, rows) of ``batch`` so that each slice holds about ``most`` bytes of text."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20, rows: int = 256):
+    """Yield (first row, rows) of ``batch`` so that each slice holds about ``most`` bytes of text and at most ``rows`` rows."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths, dtype=np.int64)
     at = 0
     while at < len(lengths):
         base = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + most, side="right"))))
         yield at, stop - at
         at = stop
 
@@ -105,3 +105,21 @@ def joined_utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out[:-1] = np.frombuffer(raw, np.uint8)
     out[-1] = 10
     return out, starts
+
+
+def gram_counts(buf: np.ndarray, starts: np.ndarray, order: int, dims: int) -> np.ndarray:
+    """Counts of hashed byte n-grams, one row per text of ``joined_utf8``; none crosses from one text to the next."""
+    n = len(starts) - 1
+    last = len(buf) - order + 1
+    if n <= 0 or last <= 0:
+        return np.zeros((max(n, 0), dims), np.float32)
+    code = np.zeros(last, np.uint32)
+    for k in range(order):
+        code = code * np.uint32(257) + buf[k : k + last]
+    code = (code * np.uint32(2654435761)) >> np.uint32(32 - int(dims).bit_length() + 1)
+    owner = np.repeat(np.arange(n, dtype=np.int64) * dims, np.diff(starts))[:last]
+    inside = np.ones(last, bool)
+    for k in range(order - 1):
+        at = starts[1:] - 1 - k
+        inside[at[(at >= 0) & (at < last)]] = False
+    return np.bincount((owner + code)[inside], minlength=n * dims).reshape(n, dims).astype(np.float32)
