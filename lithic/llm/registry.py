@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, line_dedup, packing, quality, sharding
+from . import bpe, exact_dedup, langid, line_dedup, packing, quality, sharding, url_filter
 
 
 def queries() -> dict:
@@ -12,10 +12,11 @@ def queries() -> dict:
         "op3_byte_bpe": bpe.op3,
         "op5_line_dedup": line_dedup.op5,
         "op7_histogram_shards": sharding.op7,
+        "op8_url_templates": url_filter.op8,
         "op9_centroid_language": langid.op9,
         "op10_best_fit_packing": packing.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL, "op8_url_templates": url_filter.oracle_sql()}
