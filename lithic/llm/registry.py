@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, line_dedup, packing, quality, sharding, url_filter
+from . import ann, bpe, exact_dedup, langid, line_dedup, packing, quality, sharding, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_pu_quality": quality.op1,
         "op2_exact_dedup": exact_dedup.op2,
         "op3_byte_bpe": bpe.op3,
+        "op4_adaptive_scan": ann.op4,
         "op5_line_dedup": line_dedup.op5,
         "op7_histogram_shards": sharding.op7,
         "op8_url_templates": url_filter.op8,
