@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, langid, line_dedup, packing, quality, sharding, url_filter
+import corpus_pipeline
+
+from . import ann, bpe, exact_dedup, langid, line_dedup, near_dedup, packing, quality, sharding, url_filter
 
 
 def queries() -> dict:
@@ -12,10 +14,12 @@ def queries() -> dict:
         "op3_byte_bpe": bpe.op3,
         "op4_adaptive_scan": ann.op4,
         "op5_line_dedup": line_dedup.op5,
+        "op6_hyperminhash": near_dedup.op6,
         "op7_histogram_shards": sharding.op7,
         "op8_url_templates": url_filter.op8,
         "op9_centroid_language": langid.op9,
         "op10_best_fit_packing": packing.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
