@@ -11,9 +11,10 @@ needs: there is no cap on bins.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -29,15 +30,24 @@ BLOCK_PIECES = 12_000
 MEMO_WORDS = 400_000
 END_ID = 0
 WEIGHTS = (1.0, 1e-3, 1e-3)
-#: White space at which a text can be cut: what the tokenizer drops wherever it stands.
-PLAIN_SPACE = str.maketrans("\t\n\r", "   ")
+#: Letters below this are one character each in composed form, and lower-case alike everywhere.
+PLAIN_LETTERS = "\u0250"
+
+
+def byte_letters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself where printable, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
 class WordTokenizer:
-    """Ids as little-endian 32-bit bytes, remembered by word.
+    """Ids of a text as little-endian 32-bit bytes.
 
-    Right for tokenizers that drop white space before they merge, as the
-    vocabulary's own file says; ``__init__`` refuses others.
+    Where the tokenizer drops white space before it merges, texts are cut at
+    spaces and line breaks and what a word gives is remembered.  Words of plain
+    letters go to the merging model at once, as nothing else would change them.
+    Other tokenizers get whole texts.
     """
 
     def __init__(self, definition: str):
@@ -46,15 +56,31 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_str(definition)
         self.inner.encode_special_tokens = True
-        if not re.search(r'"pre_tokenizer":\s*\{"type":\s*"Sequence".*?"behavior":\s*"Removed"', definition, re.S):
-            raise ValueError("this tokenizer keeps white space")
+        self.model, self.letters = self.inner.model, byte_letters()
+        kinds = json.loads(definition)
+        normal = [n["type"] for n in (kinds["normalizer"] or {}).get("normalizers", [])]
+        before = (kinds["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_word = normal == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in before] == ["Split", "ByteLevel"] and before[0]["invert"] and before[0]["behavior"] == "Removed" and "\\s" in before[0]["pattern"]["Regex"] and not before[1]["add_prefix_space"]
         self.words = Memo(self._word, MEMO_WORDS)
 
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _word(self, word: str) -> bytes:
-        return np.asarray(self.inner.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if not word:
+            return b""
+        if len(word) > 1 and word[-1] in ".," and word[-2].lower().isalpha():
+            return self.words[word[:-1]] + self.words[word[-1]]
+        low = word.lower()
+        if low.isalpha() and max(low) < PLAIN_LETTERS:
+            spelled = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
+            return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return self._ids(word)
 
     def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.translate(PLAIN_SPACE).split(" ")))
+        if not self.by_word:
+            return self._ids(text)
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 _kept: list[tuple[int, WordTokenizer]] = []
