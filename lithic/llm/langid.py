@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import gram_counts, joined_utf8, slices
+from .shared import gram_counts, joined_utf8, slices, unused
 
 DIMS = 4096
 ORDER = 3
@@ -53,7 +53,7 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt(np.square(x).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def batch_counts(batch: pa.RecordBatch, column: str):
+def batch_counts(batch: pa.RecordBatch, column: str | int):
     """Yield (first row, rows, counts) of the lower-cased texts."""
     for at, n in slices(batch, column):
         texts = pc.utf8_lower(pc.fill_null(batch.column(column).slice(at, n), ""))
@@ -120,9 +120,11 @@ def train(docs: DataFrame, rows: Column | None = None) -> Model:
 def label_batches(batches, model: Model):
     names = np.array([*model.languages, UNKNOWN], object)
     for batch in batches:
-        for at, n, counts in batch_counts(batch, "__text"):
+        # The last two columns are the text and whether it has letters.
+        last = batch.num_columns - 1
+        for at, n, counts in batch_counts(batch, last - 1):
             part = batch.slice(at, n)
-            letters = np.asarray(part.column("__letters").to_numpy(zero_copy_only=False), bool)
+            letters = np.asarray(part.column(last).to_numpy(zero_copy_only=False), bool)
             if model.languages:
                 lang, near = model.predict(counts)
                 lost = near < model.radius[lang]
@@ -140,10 +142,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """``docs`` with __lang_pred, __score (cosine, 0 to 1) and __rejected added.
 
     Null texts and texts without a letter are ``und``, score 0 and rejected.
-    Every row is judged by its whole text alone; other columns pass through.
+    Every row is judged by its whole text alone; other columns pass through,
+    but columns of the added names are replaced.
     """
+    docs = docs.drop("__lang_pred", "__score", "__rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__letters", F.col("__text").rlike(r"\p{L}"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select("*", text.alias(unused("text", docs.columns)), text.rlike(r"\p{L}").alias(unused("letters", docs.columns)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return rows.mapInArrow(lambda b: label_batches(b, shared.value), f"{schema}, __lang_pred string, __score double, __rejected boolean")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import gram_counts, joined_utf8, slices
+from .shared import gram_counts, joined_utf8, slices, unused
 
 GRAMS = 256
 SHAPE = 24
@@ -91,7 +91,7 @@ def features(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.hstack([np.stack(shape, axis=1), grams * 4.0]).astype(np.float32)
 
 
-def batch_features(batch: pa.RecordBatch, column: str):
+def batch_features(batch: pa.RecordBatch, column: str | int):
     for at, n in slices(batch, column):
         yield at, n, features(*joined_utf8(batch.column(column).slice(at, n)))
 
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 def score_batches(batches, model: Model | None):
     for batch in batches:
-        for at, n, x in batch_features(batch, "__text"):
+        for at, n, x in batch_features(batch, batch.num_columns - 1):  # the text comes last
             part = batch.slice(at, n)
             score = model.score(x) if model else np.full(n, 0.5)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(part.num_columns - 1)), pa.array(score)], [*part.schema.names[:-1], "__score"])
@@ -219,11 +219,14 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     """``docs`` with __score, the probability of good quality.
 
     Null text scores like empty text.  Without a model (no trusted rows) all
-    score 0.5.  Other columns pass through; repeated rows score alike.
+    score 0.5.  Other columns pass through, but a column __score is replaced;
+    repeated rows score alike.
     """
+    docs = docs.drop("__score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(lambda b: score_batches(b, shared.value), f"{schema}, __score double")
+    rows = docs.select("*", F.coalesce(F.col(text_col), F.lit("")).alias(unused("text", docs.columns)))
+    return rows.mapInArrow(lambda b: score_batches(b, shared.value), f"{schema}, __score double")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -79,7 +79,14 @@ def _clean() -> None:
             return
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20, rows: int = 256):
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores in front until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
+def slices(batch: pa.RecordBatch, column: str | int = "text", most: int = 1 << 20, rows: int = 256):
     """Yield (first row, rows) of ``batch`` so that each slice holds about ``most`` bytes of text and at most ``rows`` rows."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths, dtype=np.int64)
