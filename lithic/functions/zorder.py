@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,16 @@ def bits(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("0" * 64)).otherwise(F.lpad(F.bin(flipped), 64, "0"))
 
 
-def zorder_key(schema: T.StructType, columns) -> Column:
-    parts = [bits(ordinal(c, schema[c].dataType)) for c in columns]
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.concat(*[F.substr(p, i, F.lit(1)) for p in parts])), "")
+def scaled(name: str, kind: T.DataType, low: int, high: int) -> Column:
+    """The ordinal's place between the column's least and greatest, as 32 characters of bits; nulls first."""
+    part = (ordinal(name, kind).cast("double") - float(low)) / max(1.0, float(high) - float(low))
+    step = (F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0)) * float((1 << 32) - 2)).cast("long") + 1
+    return F.when(F.col(f"`{name}`").isNull(), F.lit("0" * 32)).otherwise(F.lpad(F.bin(step), 32, "0"))
+
+
+def zorder_key(rows: DataFrame, columns) -> Column:
+    """Interleaved bits of the columns, each scaled to its own range so that none outweighs the others."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    ends = rows.agg(*[f(ordinal(c, kinds[c])) for c in columns for f in (F.min, F.max)]).first()
+    parts = [scaled(c, kinds[c], ends[2 * k] or 0, ends[2 * k + 1] or 0) for k, c in enumerate(columns)]
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.concat(*[F.substr(p, i, F.lit(1)) for p in parts])), "")

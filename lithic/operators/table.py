@@ -447,7 +447,8 @@ class Table:
         """Rewrite in Z-order of the columns."""
         from lithic.functions.zorder import zorder_key
 
-        rows = self.scan(columns=self.schema.names).withColumn("__z", zorder_key(self.schema, columns))
+        rows = self.scan(columns=self.schema.names)
+        rows = rows.withColumn("__z", zorder_key(rows, columns))
         rows = rows.repartitionByRange(self._parts(), "__z").sortWithinPartitions("__z").drop("__z")
         self._commit(self._replaced(rows, {"kind": "zorder", "columns": list(columns)}))
 

@@ -161,17 +161,21 @@ def import_arrow(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 def read_copy_text(spark: SparkSession, path: str, schema: T.StructType, delimiter: str = "\t", null: str = "\\N") -> DataFrame:
     """COPY's text format, split by Spark at line ends: fields by a delimiter, backslash escapes, a marker for null."""
-    fields = F.split(F.col("value"), "\t" if delimiter == "\t" else f"\\Q{delimiter}\\E", -1)
+    # A line holds no line break, so marks that begin with one can stand for escaped characters.
+    slash, escaped = "\n1", "\n2"
+    safe = F.replace(F.replace(F.col("value"), F.lit("\\\\"), F.lit(slash)), F.lit("\\" + delimiter), F.lit(escaped))
+    fields = F.split(safe, f"\\Q{delimiter}\\E", -1)
     rows = spark.read.text(path).where(F.col("value") != "\\.").select(fields.alias("f"))
     wrong = F.raise_error(F.concat(F.lit("a line has "), F.size("f").cast("string"), F.lit(f" fields, not {len(schema)}")))
     rows = rows.where(F.when(F.size("f") == len(schema), F.lit(True)).otherwise(wrong.cast("boolean")))
 
     def plain(c):
-        mark = "\u0001"
-        c = F.replace(c, F.lit("\\\\"), F.lit(mark))
         for k, v in ESCAPES.items():
-            c = F.replace(c, F.lit("\\" + k), F.lit(v))
-        return F.replace(F.regexp_replace(c, r"\\(.)", "$1"), F.lit(mark), F.lit("\\"))
+            c = F.replace(c, F.lit("\\" + k), F.lit("\n3" if v == "\n" else v))
+        c = F.regexp_replace(c, r"\\(.)", "$1")
+        for mark, v in ((slash, "\\"), (escaped, delimiter), ("\n3", "\n")):
+            c = F.replace(c, F.lit(mark), F.lit(v))
+        return c
 
     return rows.select(*[F.when(F.col("f")[k] != null, plain(F.col("f")[k])).cast(f.dataType).alias(f.name) for k, f in enumerate(schema)])
 
