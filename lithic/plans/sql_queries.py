@@ -88,7 +88,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "rollup": "SELECT c_nationkey, c_mktsegment, COUNT(*) AS n FROM {customer} GROUP BY ROLLUP (c_nationkey, c_mktsegment)",
     "agg_empty_input": "SELECT COUNT(*) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS s, MIN(l_quantity) AS lo FROM {lineitem} WHERE l_quantity < 0",
     # windows
-    "window_rank": "SELECT o_orderkey, ROW_NUMBER() OVER w AS rn, RANK() OVER v AS rk, DENSE_RANK() OVER v AS dr, ROUND(PERCENT_RANK() OVER v, 9) AS pr, ROUND(CUME_DIST() OVER v, 9) AS cd, NTILE(4) OVER w AS nt FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderpriority)",
+    "window_rank": "SELECT o_orderkey, CAST(ROW_NUMBER() OVER w AS BIGINT) AS rn, CAST(RANK() OVER v AS BIGINT) AS rk, CAST(DENSE_RANK() OVER v AS BIGINT) AS dr, ROUND(PERCENT_RANK() OVER v, 9) AS pr, ROUND(CUME_DIST() OVER v, 9) AS cd, CAST(NTILE(4) OVER w AS BIGINT) AS nt FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderpriority)",
     "window_lag_lead": "SELECT event_id, LAG(value, 1) OVER w AS prev, LEAD(value, 2) OVER w AS next2, FIRST_VALUE(value) OVER w AS f, LAST_VALUE(value) OVER w AS l, NTH_VALUE(value, 2) OVER w AS n2 FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "window_running_sum": "SELECT event_id, CAST(SUM(CAST(value AS DECIMAL(24,4))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) AS running FROM {events}",
     "window_rows_frame": "SELECT event_id, MAX(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS m FROM {events}",
@@ -106,7 +106,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "except_all": "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}",
     "recursive_cte": "WITH RECURSIVE r(k, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION ALL SELECT k * 2, depth + 1 FROM r WHERE depth < 10) SELECT k, depth FROM r",
     # scalar functions
-    "fn_string": ("SELECT c_custkey, c_name || '-' || c_mktsegment AS joined, MD5(c_name) AS digest, LENGTH(c_name) AS len, LOWER(c_mktsegment) AS low, UPPER(c_name) AS up, REPEAT('ab', 3) AS rep, LPAD(CAST(c_custkey AS STRING), 8, '0') AS padded, SUBSTR(c_name, 2, 5) AS sub FROM {customer}", "SELECT c_custkey, c_name || '-' || c_mktsegment AS joined, MD5(c_name) AS digest, LENGTH(c_name) AS len, LOWER(c_mktsegment) AS low, UPPER(c_name) AS up, REPEAT('ab', 3) AS rep, LPAD(CAST(c_custkey AS VARCHAR), 8, '0') AS padded, SUBSTR(c_name, 2, 5) AS sub FROM {customer}"),
+    "fn_string": ("SELECT c_custkey, c_name || '-' || c_mktsegment AS joined, MD5(c_name) AS digest, CAST(LENGTH(c_name) AS BIGINT) AS len, LOWER(c_mktsegment) AS low, UPPER(c_name) AS up, REPEAT('ab', 3) AS rep, LPAD(CAST(c_custkey AS STRING), 8, '0') AS padded, SUBSTR(c_name, 2, 5) AS sub FROM {customer}", "SELECT c_custkey, c_name || '-' || c_mktsegment AS joined, MD5(c_name) AS digest, CAST(LENGTH(c_name) AS BIGINT) AS len, LOWER(c_mktsegment) AS low, UPPER(c_name) AS up, REPEAT('ab', 3) AS rep, LPAD(CAST(c_custkey AS VARCHAR), 8, '0') AS padded, SUBSTR(c_name, 2, 5) AS sub FROM {customer}"),
     "fn_datetime": ("SELECT o_orderkey, CAST(date_trunc('MONTH', o_orderdate) AS TIMESTAMP_NTZ) AS m, o_orderdate + INTERVAL '3' DAY AS later, YEAR(o_orderdate) AS y FROM {orders}", "SELECT o_orderkey, date_trunc('month', o_orderdate)::TIMESTAMP AS m, o_orderdate + INTERVAL 3 DAY AS later, YEAR(o_orderdate)::INT AS y FROM {orders}"),
     "fn_math": ("SELECT l_orderkey, l_linenumber, ROUND(SQRT(l_extendedprice), 6) AS root, l_orderkey % 7 AS m, FLOOR(l_discount * 100) AS f, l_orderkey DIV 3 AS d FROM {lineitem}", "SELECT l_orderkey, l_linenumber, ROUND(SQRT(l_extendedprice), 6) AS root, l_orderkey % 7 AS m, CAST(FLOOR(l_discount * 100) AS BIGINT) AS f, l_orderkey // 3 AS d FROM {lineitem}"),
     "fn_array": ("SELECT n_nationkey, elem FROM {nation} LATERAL VIEW EXPLODE(ARRAY(n_nationkey, n_regionkey * 10)) t AS elem", "SELECT n_nationkey, UNNEST([n_nationkey, n_regionkey * 10]) AS elem FROM {nation}"),
