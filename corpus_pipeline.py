@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.llm import langid, line_dedup, near_dedup, packing, quality
-from lithic.llm.shared import materialize, table
+from lithic.llm.shared import join_ids, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -37,7 +37,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
     gone = near_dedup.near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return join_ids(docs.select(*COLUMNS), gone, "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import joined_utf8, materialize, slices
+from .shared import join_ids, joined_utf8, materialize, slices
 
 WORDS = 5
 PERCENT = 75
@@ -257,6 +257,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sketches = materialize(docs.mapInArrow(sketch_batches, "doc_id long, n long, s1 long, s2 long, keys array<long>"), "sketches")
+    repeated = sketches.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     # One node for each different set: the smallest id that has it.
     full = sketches.where("n > 0 and doc_id is not null")
     nodes = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = members.select("band", "key", "node").join(centres, ["band", "key"]).where("node <> centre").groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
     side = lambda node, n, keys: reps.select(F.col("node").alias(node), F.col("n").alias(n), F.col("keys").alias(keys))
     likely = materialize(pairs.drop("bands").join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").mapInArrow(likely_batches, "a long, b long"), "likely")
-    star = materialize(_verified(docs, likely), "links")
+    star = materialize(_verified(docs, likely, repeated), "links")
     comps = materialize(connected_components(star), "components")
 
     # Buckets that still hold several components are compared in full.
@@ -283,7 +284,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("pair", F.explode(each)).select("band", "key", "pair.lo", "pair.hi", "chunk", "node", "component").join(reps, "node")
     fields = "band int, key long, lo int, hi int, chunk int, node long, component long, n long, keys array<long>"
     hoped = materialize(dealt.groupBy("band", "key", "lo", "hi").applyInPandas(hopeful, fields), "hopeful")
-    sets = _sets(docs, hoped.select("node").distinct())
+    sets = _sets(docs, hoped.select("node").distinct(), repeated)
     more = hoped.join(sets, "node").groupBy("band", "key", "lo", "hi").applyInPandas(linked, "a long, b long")
     every = materialize(star.select("a", "b").union(more), "all-links")
     final = materialize(connected_components(every), "final")
@@ -293,15 +294,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return named.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
     """node, hashes: full shingle sets of the wanted ids; texts of others are dropped before anything is computed."""
-    found = docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return materialize(found.mapInArrow(set_batches, "node long, hashes array<long>"), "sets")
+    found = join_ids(docs, wanted.select(F.col("node").alias("doc_id")), "left_semi")
+    sets = found.mapInArrow(set_batches, "node long, hashes array<long>")
+    # Rows that repeat an id have the same set; one is enough.  Without such rows nothing is shuffled.
+    return materialize(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), repeated)
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return joined.withColumn("both", both).where(100 * F.col("both") >= PERCENT * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")

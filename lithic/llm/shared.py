@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -79,6 +80,20 @@ def _clean() -> None:
             return
 
 
+#: Ids up to this number are broadcast (8 bytes each, some 50 MB as a hash table); more take a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Documents with (left_semi) or without (left_anti) the ids of ``ids`` (doc_id), which is counted first.
+
+    A list of checked size is broadcast, so that whole texts aren't shuffled
+    only to be left out; a longer one takes the ordinary join.
+    """
+    ids = materialize(ids, "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, with underscores in front until no column has it."""
     while name.lower() in {c.lower() for c in columns}:
