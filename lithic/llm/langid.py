@@ -4,8 +4,11 @@ A text is a vector of TF-IDF weighted, length-normalised byte n-grams (square
 root of the count times inverse document frequency).  Each language has several
 centroids, found by spherical k-means over a bounded sample; a text goes to the
 language of the centroid with the largest cosine, and is rejected where it is
-farther from it than the language's radius.  Document frequencies are counted
-over all training rows.
+farther from it than the language's radius.  Cosines grow with a text's number
+of different n-grams, so a radius is a curve over that number.  It comes from
+the language's own sample rows, thinned to several lengths and measured against
+centroids fitted without them.  Document frequencies are counted over all
+training rows.
 """
 
 from __future__ import annotations
@@ -26,8 +29,14 @@ CENTROIDS = 4
 #: Bound of the sample that centroids are fitted on: rows a language, and rows in all.
 PER_LANGUAGE = 800
 SAMPLE = 6000
-#: A text is rejected if its cosine is less than this part of the least likely hundredth of its language's sample.
-SLACK = 0.12
+#: A text is rejected if its cosine is less than SLACK times this quantile of its language's cosines at its number of n-grams.
+#: The quantile lies above the share of junk among training rows.
+QUANTILE = 0.05
+SLACK = 0.55
+#: Cosines that a point of a radius curve needs; with fewer of its own a language takes the curve of all languages together.
+LEAST = 20
+#: Points of a curve: numbers of different n-grams that are powers of two, up to DIMS.
+POINTS = DIMS.bit_length()
 UNKNOWN = "und"
 
 
@@ -36,7 +45,7 @@ class Model:
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray  # language after language, CENTROIDS rows each
-    radius: np.ndarray  # least cosine by language
+    radius: np.ndarray  # least cosine by language and logarithm of the number of different n-grams
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return weigh(counts, self.idf)
@@ -47,6 +56,13 @@ class Model:
         best = near.argmax(axis=1)
         return best // CENTROIDS, np.clip(near[np.arange(len(near)), best], 0.0, 1.0)
 
+    def least(self, counts: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Least cosine by row that isn't rejected, between the points of its language's curve by line."""
+        at = np.log2(np.maximum((counts > 0).sum(axis=1), 1))
+        low = at.astype(np.int64)
+        part = at - low
+        return self.radius[lang, low] * (1 - part) + self.radius[lang, np.minimum(low + 1, POINTS - 1)] * part
+
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.sqrt(counts) * idf
@@ -88,6 +104,43 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.n
     return centres
 
 
+def thinned(counts: np.ndarray, rng: np.random.Generator):
+    """Counts of 1, 2, 4 ... n-grams drawn from each row that has more of them, and the rows themselves."""
+    yield counts
+    bags = []
+    for row in counts.astype(np.int64):
+        if row.sum() > 2 * DIMS:  # no more than the largest size is drawn from a long text
+            row = rng.multivariate_hypergeometric(row, 2 * DIMS, method="marginals")
+        bags.append(rng.permutation(np.repeat(np.arange(DIMS), row)))
+    for size in 1 << np.arange(POINTS):
+        some = [np.bincount(bag[:size], minlength=DIMS) for bag in bags if len(bag) > size]
+        if some:
+            yield np.stack(some).astype(np.float32)
+
+
+def held_out_cosines(counts: np.ndarray, idf: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Point of the curve and cosine of thinned rows; each half of the rows is measured against centroids of the other."""
+    points, cosines = [np.zeros(0, np.int64)], [np.zeros(0)]
+    rng = np.random.default_rng(seed)
+    half = rng.permutation(len(counts)) % 2 == 0
+    for fitted in (half, ~half):
+        if not fitted.any() or fitted.all():
+            continue
+        centres = spherical_kmeans(weigh(counts[fitted], idf), CENTROIDS, seed)
+        for some in thinned(counts[~fitted], rng):
+            points.append(np.rint(np.log2(np.maximum((some > 0).sum(axis=1), 1))).astype(np.int64))
+            cosines.append((weigh(some, idf) @ centres.T).max(axis=1))
+    return np.concatenate(points), np.concatenate(cosines)
+
+
+def radius_curve(points: np.ndarray, cosines: np.ndarray) -> np.ndarray | None:
+    """Least cosine at each point; where there are fewer than LEAST cosines it comes from the points beside it."""
+    known = [p for p in range(POINTS) if (points == p).sum() >= LEAST]
+    if not known:
+        return None
+    return np.interp(np.arange(POINTS), known, [SLACK * float(np.quantile(cosines[points == p], QUANTILE)) for p in known])
+
+
 def training_rows(docs: DataFrame) -> Column:
     """Rows that may be learned from: a language, and crc32(doc_id) mod 3 other than 1."""
     return F.col("lang").isNotNull() & (F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 3 != 1)
@@ -106,14 +159,17 @@ def train(docs: DataFrame, rows: Column | None = None) -> Model:
         share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, -(-(each << 20) // sizes[lang])))).otherwise(share)
     drawn = known.where(F.pmod(F.col("draw"), F.lit(1 << 20)) < share).select("lang", "text").mapInArrow(sample_counts, "lang string, roots binary").collect()
     drawn.sort(key=lambda r: (r.lang, bytes(r.roots)))
-    centroids, radius = [], []
+    centroids, measured = [], []
     for n, lang in enumerate(languages):
         roots = [np.frombuffer(r.roots, np.float16) for r in drawn if r.lang == lang]
         x = np.stack(roots).astype(np.float32) if roots else np.zeros((1, DIMS), np.float32)
-        x = weigh(np.square(x), idf)
-        found = spherical_kmeans(x, CENTROIDS, n)
-        centroids.append(found)
-        radius.append(SLACK * float(np.quantile((x @ found.T).max(axis=1), 0.01)))
+        x = np.rint(np.square(x))
+        centroids.append(spherical_kmeans(weigh(x, idf), CENTROIDS, n))
+        measured.append((len(x), *held_out_cosines(x, idf, n)))
+    together = radius_curve(*(np.concatenate([m[k] for m in measured]) for k in (1, 2))) if measured else None
+    together = np.zeros(POINTS) if together is None else together
+    own = [radius_curve(*m[1:]) if m[0] >= LEAST else None for m in measured]
+    radius = [together if curve is None else curve for curve in own]
     return Model(languages, idf, np.concatenate(centroids) if centroids else np.zeros((0, DIMS), np.float32), np.array(radius))
 
 
@@ -127,7 +183,7 @@ def label_batches(batches, model: Model):
             letters = np.asarray(part.column(last).to_numpy(zero_copy_only=False), bool)
             if model.languages:
                 lang, near = model.predict(counts)
-                lost = near < model.radius[lang]
+                lost = near < model.least(counts, lang)
             else:
                 lang, near, lost = np.full(n, -1), np.zeros(n), np.ones(n, bool)
             lang, near = np.where(letters, lang, -1), np.where(letters, near, 0.0)

@@ -179,6 +179,32 @@ def test_language(docs, empty, spark):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_language_rejects_far_texts_of_any_length(spark, sf):
+    import base64
+    import random
+
+    random.seed(4)
+    foreign = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+        "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+    ]
+    of = lambda letters, n: "".join(random.choice(letters) for _ in range(n))
+    latin, cjk = "abcdefghijklmnopqrstuvwxyz", [chr(c) for c in range(0x4E00, 0x9FFF)]
+    far = [*foreign, *(" ".join([t] * 20) for t in foreign)]
+    for n in (60, 400, 3000, 20_000):
+        far += [of(latin, n), of(latin + " ", n), of("0123456789abcdef", n), base64.b64encode(random.randbytes(n)).decode(), of(cjk, n)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs)
+    got = langid.identify(spark.createDataFrame(list(enumerate(far)), "n long, text string"), model).collect()
+    assert [far[r.n][:40] for r in got if not r["__rejected"]] == []
+    held = langid.identify(docs.where(~langid.training_rows(docs)), model).collect()
+    assert len(held) > 50 and sum(not r["__rejected"] for r in held) >= 0.97 * len(held)
+    short = [" ".join(r.text.split()[:8]) for r in held if r.n_chars > 500]
+    kept = langid.identify(spark.createDataFrame([(t,) for t in short], "text string"), model).where("not __rejected").count()
+    assert kept >= 0.95 * len(short)
+
+
 def test_quality(docs, empty, spark):
     labels = spark.createDataFrame([(n, 1, 0) for n in range(0, 19, 2)] + [(None, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
     model = quality.train(docs, labels)
