@@ -3,10 +3,11 @@
 Every url becomes a template: path segments that look variable (numbers, hex,
 long tokens) turn into wildcards by their shape.  In each host's tree of
 templates, a node with many different children has them merged into one
-wildcard; sibling branches whose labelled purity doesn't differ significantly
-from that of the siblings together are merged too.  A template is rejected when
-its purity, smoothed towards its host's and that towards the whole's, is below
-a threshold.  Host rules, if any fits, decide before that.
+wildcard.  Then, from the leaves up, sibling branches whose labelled purity
+doesn't differ significantly from that of the siblings together are merged, and
+what was merged is a branch of the node above.  A template is rejected when its
+purity, smoothed towards its host's and that towards the whole's, is below a
+threshold.  Host rules, if any fits, decide before that.
 """
 
 from __future__ import annotations
@@ -54,6 +55,46 @@ def template(path: Column) -> Column:
     return F.concat(shaped, F.when(F.size(segments) > DEPTH + 1, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
 
 
+def merge_branches(leaves: DataFrame) -> DataFrame:
+    """host, general, seen and own_good of each of ``leaves`` (host, general, n_labelled, n_good): the sums of the branch it was merged into.
+
+    A node's branches are its children and, as one more, the paths that end
+    there.  Those that differ from all together keep their sums; the others'
+    sums are the node's own among its siblings.  Each level takes one pass up
+    and one down.
+    """
+    # No segment is without its slash but the mark of a path's end.
+    ends = F.concat(F.transform("general", lambda x: F.concat(F.lit("/"), x)), F.array(F.lit("")))
+    ended = materialize(leaves.select("host", ends.alias("node"), "n_labelled", "n_good"), "url-leaves")
+    deepest = ended.agg(F.coalesce(F.max(F.size("node")), F.lit(0))).first()[0]
+    sums = [F.sum("n_labelled").alias("n_labelled"), F.sum("n_good").alias("n_good")]
+    merged, levels = None, []
+    for level in range(deepest, 0, -1):
+        nodes = ended.where(F.size("node") == level)
+        nodes = (nodes if merged is None else nodes.unionByName(merged)).withColumn("above", F.slice("node", 1, level - 1))
+        pooled = nodes.groupBy("host", "above").agg(F.sum("n_labelled").alias("pn"), F.sum("n_good").alias("pg"))
+        p = F.col("pg") / F.greatest(F.col("pn"), F.lit(1))
+        n = F.greatest(F.col("n_labelled"), F.lit(1))
+        differs = F.abs(F.col("n_good") / n - p) > F.lit(Z) * F.sqrt(F.greatest(p * (1 - p), F.lit(1e-6)) / n)
+        marked = nodes.join(pooled, ["host", "above"]).withColumn("own", (F.col("n_labelled") > 0) & differs).drop("pn", "pg")
+        levels.append(materialize(marked, f"url-level-{level}"))
+        merged = levels[-1].where(~F.col("own")).groupBy("host", F.col("above").alias("node")).agg(*sums)
+    if merged is None:
+        return leaves.select("host", "general", F.col("n_labelled").alias("seen"), F.col("n_good").alias("own_good"))
+    settled, found = merged.select("host", F.col("node").alias("above"), F.col("n_labelled").alias("seen"), F.col("n_good").alias("own_good")), []
+    for marked in reversed(levels):
+        down = marked.join(settled, ["host", "above"], "left").select(
+            "host", "node", *[F.when(F.col("own"), F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("n_labelled", "seen"), ("n_good", "own_good"))]
+        )
+        down = materialize(down, "url-settled")
+        found.append(down.where(F.element_at("node", -1) == ""))
+        settled = down.withColumnRenamed("node", "above")
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return whole.select("host", F.transform(F.slice("node", 1, F.size("node") - 1), lambda x: F.substring(x, 2, F.length(x))).alias("general"), "seen", "own_good")
+
+
 def judge_templates(shapes: DataFrame) -> DataFrame:
     """Verdict of each (host, shape) of ``shapes``, which has n_labelled and n_good of each.
 
@@ -70,22 +111,12 @@ def judge_templates(shapes: DataFrame) -> DataFrame:
     sums = [F.sum("n_labelled").alias("n_labelled"), F.sum("n_good").alias("n_good")]
     tree = materialize(tree, "url-tree")
     leaves = tree.groupBy("host", "general").agg(*sums)
-    # Branches under one node, of one length, that don't differ from all of them together share one purity.
-    parent = [F.col("host"), F.size("general").alias("size"), F.slice("general", 1, F.greatest(F.size("general") - 1, F.lit(0))).alias("above")]
-    pooled = leaves.select(*parent, "n_labelled", "n_good").groupBy("host", "size", "above").agg(F.sum("n_labelled").alias("pn"), F.sum("n_good").alias("pg"))
-    near = leaves.select(*parent, "general", "n_labelled", "n_good").join(pooled, ["host", "size", "above"])
-    p = F.col("pg") / F.greatest(F.col("pn"), F.lit(1))
-    n = F.greatest(F.col("n_labelled"), F.lit(1))
-    differs = F.abs(F.col("n_good") / n - p) > F.lit(Z) * F.sqrt(F.greatest(p * (1 - p), F.lit(1e-6)) / n)
-    marked = near.withColumn("own", (F.col("n_labelled") > 0) & differs)
-    merged = marked.where(~F.col("own")).groupBy("host", "size", "above").agg(F.sum("n_labelled").alias("mn"), F.sum("n_good").alias("mg"))
     hosts = leaves.groupBy("host").agg(F.sum("n_labelled").alias("hn"), F.sum("n_good").alias("hg"))
     labelled, good = leaves.agg(F.coalesce(F.sum("n_labelled"), F.lit(0)), F.coalesce(F.sum("n_good"), F.lit(0))).first()
-    judged = marked.join(merged, ["host", "size", "above"], "left").join(hosts, "host")
+    judged = merge_branches(leaves).join(hosts, "host")
     overall = F.lit((good + 1) / (labelled + 2))
     of_host = (F.col("hg") + F.lit(SMOOTH) * overall) / (F.col("hn") + F.lit(SMOOTH))
-    own_good, seen = F.when(F.col("own"), F.col("n_good")).otherwise(F.col("mg")), F.when(F.col("own"), F.col("n_labelled")).otherwise(F.col("mn"))
-    purity = (own_good + F.lit(SMOOTH) * of_host) / (seen + F.lit(SMOOTH))
+    purity = (F.col("own_good") + F.lit(SMOOTH) * of_host) / (F.col("seen") + F.lit(SMOOTH))
     verdicts = judged.select(F.col("host").alias("h"), F.col("general").alias("g"), F.when(purity < THRESHOLD, "block").otherwise("allow").alias("says"))
     return tree.join(verdicts, (F.col("host") == F.col("h")) & (F.col("general") == F.col("g"))).select("host", "shape", F.array_join("general", "/").alias("template"), "says")
 
@@ -119,7 +150,7 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql(rules=RULES) -> str:
-    """The same in DuckDB's SQL."""
+    """The method with a single step of merging, of leaves of one length under one node, in DuckDB's SQL."""
     cases = sorted(rules, key=lambda r: (-len(r[0]), r[0]))
 
     def fits(text: str) -> str:

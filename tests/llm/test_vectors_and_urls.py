@@ -74,3 +74,42 @@ def test_urls_against_sql(spark):
     assert rules[0] == ("example.org/es/", "block") and rules[1] == ("example.org/en/1", "block") and rules[2] == ("org/", "allow")
     assert rules[4] == ("com/de/", "block") and rules[100][1] == "block" and rules[200][1] == "allow"
     assert url_filter.filter_urls(p.where("page_id < 0"), m.select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))).count() == 0
+
+
+def merged_by_hand(leaves):
+    """Sums of the branch each leaf is merged into, in plain Python."""
+    groups, final = {(h, *t, None): (n, g, [(h, t)]) for h, t, n, g in leaves}, {}
+    for size in range(max(map(len, groups)), 1, -1):
+        nodes = {}
+        for key in [k for k in groups if len(k) == size]:
+            nodes.setdefault(key[:-1], []).append(groups.pop(key))
+        for above, branches in nodes.items():
+            p = sum(b[1] for b in branches) / max(1, sum(b[0] for b in branches))
+            rest = [b for b in branches if not (b[0] and abs(b[1] / b[0] - p) > url_filter.Z * (max(p * (1 - p), 1e-6) / b[0]) ** 0.5)]
+            final |= {t: b[:2] for b in branches if b not in rest for t in b[2]}
+            if rest:
+                groups[above] = (sum(b[0] for b in rest), sum(b[1] for b in rest), [t for b in rest for t in b[2]])
+    return final | {t: b[:2] for b in groups.values() for t in b[2]}
+
+
+def test_branches_are_merged_at_every_level(spark):
+    rng = np.random.default_rng(2)
+    trees = [("h", t, 30, int(30 * p)) for t, p in [(("en", "*"), 0.9), (("en", "*", ""), 0.9), (("fr", "*"), 0.9), (("de", "*"), 0.1), (("de", "x", "y"), 0.1), (("de",), 0.9)]]
+    for host in "abcd":
+        paths = {tuple(str(rng.integers(3)) for _ in range(rng.integers(0, 6))) for _ in range(40)}
+        trees += [(host, t, n := int(rng.integers(0, 30)), int(rng.binomial(n, rng.choice([0.1, 0.5, 0.9])))) for t in sorted(paths)]
+    leaves = spark.createDataFrame([(h, list(t), n, g) for h, t, n, g in trees], "host string, general array<string>, n_labelled long, n_good long")
+    got = {(r.host, tuple(r.general)): (r.seen, r.own_good) for r in url_filter.merge_branches(leaves).collect()}
+    assert got == merged_by_hand(trees)
+    assert got["h", ("en", "*")] == got["h", ("en", "*", "")] == got["h", ("fr", "*")] != got["h", ("de", "*")]
+    assert url_filter.merge_branches(leaves.where("n_labelled < 0")).count() == 0
+
+
+def test_few_labels_count_with_like_siblings_above(spark):
+    pages, labels = [], []
+    for section, count, good in (("a", 3, 0), ("b", 3, 0), ("c", 3, 0), ("d", 3, 0), ("news", 60, 60)):
+        for i in range(count):
+            pages.append((len(pages), f"http://x.net/{'ads' if section != 'news' else 'n'}/{section}/{i}"))
+            labels.append((len(labels), int(i < good)))
+    got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int"), rules=()).collect()
+    assert {r.verdict for r in got if r.path.startswith("/ads/")} == {"block"} and {r.verdict for r in got if r.path.startswith("/n/")} == {"allow"}
