@@ -2,8 +2,8 @@
 
 Every url becomes a template: path segments that look variable (numbers, hex,
 long tokens) turn into wildcards by their shape.  In each host's tree of
-templates, a node with many different children has them merged into one
-wildcard.  Then, from the leaves up, sibling branches whose labelled purity
+templates, a node with many different children has those with few labels merged
+into one wildcard.  Then, from the leaves up, sibling branches whose labelled purity
 doesn't differ significantly from that of the siblings together are merged, and
 what was merged is a branch of the node above.  A template is rejected when its
 purity, smoothed towards its host's and that towards the whole's, is below a
@@ -20,6 +20,8 @@ from .shared import materialize
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 DEPTH = 4
 MOST_CHILDREN = 24
+#: Labels that a child of a node with more children needs to stay apart from the wildcard.
+LEAST_LABELS = 5
 SMOOTH = 8.0
 THRESHOLD = 0.5
 Z = 1.96
@@ -98,16 +100,18 @@ def merge_branches(leaves: DataFrame) -> DataFrame:
 def judge_templates(shapes: DataFrame) -> DataFrame:
     """Verdict of each (host, shape) of ``shapes``, which has n_labelled and n_good of each.
 
-    Levels are generalised from the root down: children of a node are merged
-    into ``*`` where there are more than MOST_CHILDREN different ones.
+    Levels are generalised from the root down: where a node has more than
+    MOST_CHILDREN different children, those with fewer than LEAST_LABELS labels
+    are merged into ``*``.
     """
     tree = shapes.withColumn("general", F.col("shape"))
     for level in range(1, DEPTH + 1):
         above, child = F.slice("general", 1, level - 1), F.get("general", F.lit(level - 1))
-        nodes = tree.select("host", above.alias("above"), child.alias("child")).where("child is not null").groupBy("host", "above", "child").agg(F.lit(1).alias("one")).groupBy("host", "above").agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > MOST_CHILDREN)
-        wide = nodes.select(F.col("host").alias("h"), F.col("above").alias("a"), F.lit(True).alias("wide"))
+        children = tree.select("host", above.alias("above"), child.alias("child"), "n_labelled").where("child is not null").groupBy("host", "above", "child").agg(F.sum("n_labelled").alias("n"))
+        wide = children.groupBy("host", "above").agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > MOST_CHILDREN)
+        few = children.where(F.col("n") < LEAST_LABELS).join(wide, ["host", "above"]).select(F.col("host").alias("h"), F.col("above").alias("a"), F.col("child").alias("c"), F.lit(True).alias("few"))
         starred = F.transform("general", lambda s, i: F.when(i == level - 1, F.lit("*")).otherwise(s))
-        tree = tree.join(wide, (F.col("host") == F.col("h")) & (above == F.col("a")), "left").withColumn("general", F.when(F.col("wide") & (F.size("general") >= level), starred).otherwise(F.col("general"))).drop("h", "a", "wide")
+        tree = tree.join(few, (F.col("host") == F.col("h")) & (above == F.col("a")) & (child == F.col("c")), "left").withColumn("general", F.when(F.col("few"), starred).otherwise(F.col("general"))).drop("h", "a", "c", "few")
     sums = [F.sum("n_labelled").alias("n_labelled"), F.sum("n_good").alias("n_good")]
     tree = materialize(tree, "url-tree")
     leaves = tree.groupBy("host", "general").agg(*sums)

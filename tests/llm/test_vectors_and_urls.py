@@ -113,3 +113,13 @@ def test_few_labels_count_with_like_siblings_above(spark):
             labels.append((len(labels), int(i < good)))
     got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int"), rules=()).collect()
     assert {r.verdict for r in got if r.path.startswith("/ads/")} == {"block"} and {r.verdict for r in got if r.path.startswith("/n/")} == {"allow"}
+
+
+def test_labelled_children_of_a_wide_node_stay(spark):
+    sections = ["casino", *(f"topic-{k}-x" for k in range(40))]
+    paths = [(f"/{name}/{i}", int(name != "casino")) for name in sections for i in range(12)] + [(f"/rare-{k}-x/1", 1) for k in range(30)]
+    pages = spark.createDataFrame([(n, f"http://hot.net{p}") for n, (p, _) in enumerate(paths)], "page_id long, url string")
+    labels = spark.createDataFrame([(n, good) for n, (_, good) in enumerate(paths)], "page_id long, good int")
+    got = {r.path: r for r in url_filter.filter_urls(pages, labels, rules=()).collect()}
+    assert {got[p].verdict for p, good in paths if not good} == {"block"} and {got[p].verdict for p, good in paths if good} == {"allow"}
+    assert got["/casino/3"].template == "casino/*" and got["/rare-7-x/1"].template == "*/*"
