@@ -30,7 +30,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are boilerplate on their host; n_chars follows the text."""
-    clean = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    clean = line_dedup.dedup_lines(docs.select(*COLUMNS), pooled=True)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 

@@ -3,6 +3,11 @@
 A line (without surrounding spaces) is boilerplate on a host when the pages of
 that host that hold it, divided by all pages of the host, exceed a ratio.  Such
 lines are dropped from the host's pages wherever they stand; blank lines stay.
+
+A share is measured on few pages, so the same boilerplate can fall on either
+side of the ratio by chance of host.  ``pooled`` also drops a line that exceeds
+the ratio over all hosts it stands on together, on each host where its share
+isn't significantly below the ratio.
 """
 
 from __future__ import annotations
@@ -14,6 +19,9 @@ from .shared import materialize
 
 RATIO = 0.1
 LEAST_PAGES = 3
+#: For pooled shares: the bound's width in standard errors, and the pages a host needs to count.  On a smaller host a page or two make a large share.
+Z = 1.96
+LEAST_HOST = 30
 BROADCAST_ROWS = 50_000
 SALTS = 64
 
@@ -39,7 +47,29 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_
     return counts.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("pages") > F.lit(float(ratio)) * F.col("host_pages")).select("host", "line_key", "pages", "host_pages")
 
 
-def dedup_lines(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def pooled_boilerplate(docs: DataFrame, found: DataFrame, ratio: float = RATIO, host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """host, line_key, pages, host_pages of each line that exceeds the ratio over its hosts together and isn't significantly below it on this one.
+
+    ``found`` is what ``boilerplate`` gives: a line can only exceed the ratio
+    over all hosts if it does so on one.
+    """
+    known = found.where(F.col("host_pages") >= LEAST_HOST).select("line_key").distinct()
+    known = materialize(known, "known-lines")
+    pages = docs.select(F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    totals = pages.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("host_pages")).where(F.col("host_pages") >= LEAST_HOST)
+    keys = F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key)
+    lines = pages.select("host", F.explode(F.array_distinct(keys)).alias("line_key"))
+    lines = lines.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "line_key", "left_semi")
+    counts = lines.groupBy("host", "line_key").agg(F.count(F.lit(1)).alias("pages"))
+    counts = materialize(counts.join(totals, F.col("host").eqNullSafe(F.col("of"))).drop("of"), "known-counts")
+    over = counts.groupBy("line_key").agg(F.sum("pages").alias("all"), F.sum("host_pages").alias("of")).where(F.col("all") > F.lit(float(ratio)) * F.col("of")).select("line_key")
+    n, share = F.col("host_pages"), F.col("pages") / F.col("host_pages")
+    # Wilson's upper bound of the share.
+    bound = (share + Z * Z / (2 * n) + Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+    return counts.join(over, "line_key", "left_semi").where(bound > ratio).select("host", "line_key", "pages", "host_pages")
+
+
+def dedup_lines(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, host_col: str = "source", text_col: str = "text", pooled: bool = False) -> DataFrame:
     """``docs`` with its text cleaned, and n_lines and n_dropped added (a name already in use gets a _ behind it).
 
     Null text stays null, with no lines.  A text of dropped lines only becomes
@@ -47,6 +77,9 @@ def dedup_lines(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_
     ``least_pages`` pages lose nothing.  An empty table gives an empty result.
     """
     found = materialize(boilerplate(docs, ratio, least_pages, host_col, text_col), "boilerplate")
+    if pooled:
+        more = pooled_boilerplate(docs, found, ratio, host_col, text_col)
+        found = materialize(found.unionByName(more).dropDuplicates(["host", "line_key"]), "boilerplate")
     # A host has at most (lines a page / ratio) such lines, so a host's list is
     # short; how many hosts there are isn't bounded, so the size is measured.
     per_host = found.groupBy("host").agg(F.collect_set("line_key").alias("__bad"))

@@ -122,6 +122,24 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit(1))).columns[-2:] == ["n_lines_", "n_dropped"]
 
 
+def test_pipeline_drops_boilerplate_on_every_host(spark):
+    import corpus_pipeline
+
+    # The menu is on 8 to 13 % of the pages of each host, the slogan on 4 %, the notice on a third of host 9 and a page of host 0.
+    pages = {"menu": {h: 8 + h % 6 for h in range(12)}, "slogan": {h: 4 for h in range(12)}, "notice": {9: 33, 0: 1}}
+    made = []
+    for h in range(12):
+        for n in range(100):
+            lines = [f"body {h} {n}", *(line for line, on in pages.items() if n < on.get(h, 0))]
+            made.append((len(made), "\n".join(lines), "en", f"host{h}", 9))
+    # Hosts of one page share a line without being dropped.
+    made += [(len(made) + k, "shared\nby small hosts", "en", f"small{k}", 9) for k in range(5)]
+    got = corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert len(got) == len(made) and all(r.n_chars == len(r.text) for r in got)
+    want = {n: "\n".join(x for x in t.split("\n") if x != "menu" and (x, s) != ("notice", "host9")) for n, t, _, s, _ in made}
+    assert {r.doc_id: r.text for r in got} == want
+
+
 def test_line_dedup_salted_join_agrees(docs, monkeypatch):
     plain = sorted(map(str, line_dedup.dedup_lines(docs).select("doc_id", "text", "n_dropped").collect()))
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
