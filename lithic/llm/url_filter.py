@@ -14,10 +14,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import materialize
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+#: Segments that a template shows where what follows them was merged.
 DEPTH = 4
 MOST_CHILDREN = 24
 #: Labels that a child of a node with more children needs to stay apart from the wildcard.
@@ -51,14 +53,13 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def template(path: Column) -> Column:
-    """The path's first DEPTH segments, variable ones as ``*``; what follows them as ``**``."""
+    """All segments of the path, variable ones as ``*``."""
     segments = F.split(path, "/", -1)
-    shaped = F.transform(F.slice(segments, 2, DEPTH), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
-    return F.concat(shaped, F.when(F.size(segments) > DEPTH + 1, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
+    return F.transform(F.slice(segments, 2, F.size(segments)), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
 
 
 def merge_branches(leaves: DataFrame) -> DataFrame:
-    """host, general, seen and own_good of each of ``leaves`` (host, general, n_labelled, n_good): the sums of the branch it was merged into.
+    """host, general, seen, own_good and top of each of ``leaves`` (host, general, n_labelled, n_good): the sums of the branch it was merged into and that branch's level.
 
     A node's branches are its children and, as one more, the paths that end
     there.  Those that differ from all together keep their sums; the others'
@@ -82,11 +83,11 @@ def merge_branches(leaves: DataFrame) -> DataFrame:
         levels.append(materialize(marked, f"url-level-{level}"))
         merged = levels[-1].where(~F.col("own")).groupBy("host", F.col("above").alias("node")).agg(*sums)
     if merged is None:
-        return leaves.select("host", "general", F.col("n_labelled").alias("seen"), F.col("n_good").alias("own_good"))
-    settled, found = merged.select("host", F.col("node").alias("above"), F.col("n_labelled").alias("seen"), F.col("n_good").alias("own_good")), []
+        return leaves.select("host", "general", F.col("n_labelled").alias("seen"), F.col("n_good").alias("own_good"), F.lit(0).alias("top"))
+    settled, found = merged.select("host", F.col("node").alias("above"), F.col("n_labelled").alias("seen"), F.col("n_good").alias("own_good"), F.lit(0).alias("top")), []
     for marked in reversed(levels):
         down = marked.join(settled, ["host", "above"], "left").select(
-            "host", "node", *[F.when(F.col("own"), F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("n_labelled", "seen"), ("n_good", "own_good"))]
+            "host", "node", *[F.when(F.col("own"), F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("n_labelled", "seen"), ("n_good", "own_good"))], F.when(F.col("own"), F.size("node")).otherwise(F.col("top")).alias("top")
         )
         down = materialize(down, "url-settled")
         found.append(down.where(F.element_at("node", -1) == ""))
@@ -94,7 +95,7 @@ def merge_branches(leaves: DataFrame) -> DataFrame:
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)
-    return whole.select("host", F.transform(F.slice("node", 1, F.size("node") - 1), lambda x: F.substring(x, 2, F.length(x))).alias("general"), "seen", "own_good")
+    return whole.select("host", F.transform(F.slice("node", 1, F.size("node") - 1), lambda x: F.substring(x, 2, F.length(x))).alias("general"), "seen", "own_good", "top")
 
 
 def judge_templates(shapes: DataFrame) -> DataFrame:
@@ -102,10 +103,17 @@ def judge_templates(shapes: DataFrame) -> DataFrame:
 
     Levels are generalised from the root down: where a node has more than
     MOST_CHILDREN different children, those with fewer than LEAST_LABELS labels
-    are merged into ``*``.
+    are merged into ``*``.  A template shows DEPTH segments, or as many as lead to
+    the branch whose purity is its own, and ``**`` for what follows.
     """
     tree = shapes.withColumn("general", F.col("shape"))
-    for level in range(1, DEPTH + 1):
+    # A node can only be wide where its host has as many shapes that go on to the level.
+    deep = shapes.groupBy("host", F.size("shape").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    reach = deep.withColumn("n", F.sum("n").over(Window.partitionBy("host").orderBy(F.desc("size")))).where(F.col("n") > MOST_CHILDREN)
+    last = reach.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    for level in range(1, last + 1):
+        if level > DEPTH:  # keeps the plan short
+            tree = materialize(tree, "url-tree")
         above, child = F.slice("general", 1, level - 1), F.get("general", F.lit(level - 1))
         children = tree.select("host", above.alias("above"), child.alias("child"), "n_labelled").where("child is not null").groupBy("host", "above", "child").agg(F.sum("n_labelled").alias("n"))
         wide = children.groupBy("host", "above").agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > MOST_CHILDREN)
@@ -121,8 +129,9 @@ def judge_templates(shapes: DataFrame) -> DataFrame:
     overall = F.lit((good + 1) / (labelled + 2))
     of_host = (F.col("hg") + F.lit(SMOOTH) * overall) / (F.col("hn") + F.lit(SMOOTH))
     purity = (F.col("own_good") + F.lit(SMOOTH) * of_host) / (F.col("seen") + F.lit(SMOOTH))
-    verdicts = judged.select(F.col("host").alias("h"), F.col("general").alias("g"), F.when(purity < THRESHOLD, "block").otherwise("allow").alias("says"))
-    return tree.join(verdicts, (F.col("host") == F.col("h")) & (F.col("general") == F.col("g"))).select("host", "shape", F.array_join("general", "/").alias("template"), "says")
+    verdicts = judged.select(F.col("host").alias("h"), F.col("general").alias("g"), F.when(purity < THRESHOLD, "block").otherwise("allow").alias("says"), F.greatest(F.lit(DEPTH), F.col("top")).alias("shown"))
+    shown = F.when(F.size("general") > F.col("shown"), F.concat(F.slice("general", F.lit(1), F.col("shown")), F.array(F.lit("**")))).otherwise(F.col("general"))
+    return tree.join(verdicts, (F.col("host") == F.col("h")) & (F.col("general") == F.col("g"))).select("host", "shape", F.array_join(shown, "/").alias("template"), "says")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:

@@ -123,3 +123,14 @@ def test_labelled_children_of_a_wide_node_stay(spark):
     got = {r.path: r for r in url_filter.filter_urls(pages, labels, rules=()).collect()}
     assert {got[p].verdict for p, good in paths if not good} == {"block"} and {got[p].verdict for p, good in paths if good} == {"allow"}
     assert got["/casino/3"].template == "casino/*" and got["/rare-7-x/1"].template == "*/*"
+
+
+def test_deep_branches_are_judged_apart(spark):
+    paths = [(f"/a/b/c/d/{branch}/{i}", int(branch != "spam")) for branch in ("good", "fine", "spam") for i in range(30)]
+    paths += [(f"/a/b/c/d/e/f/item-{i}-x", 1) for i in range(30)]
+    pages = spark.createDataFrame([(n, f"http://deep.net{p}") for n, (p, _) in enumerate(paths)], "page_id long, url string")
+    labels = spark.createDataFrame([(n, good) for n, (_, good) in enumerate(paths)], "page_id long, good int")
+    got = url_filter.filter_urls(pages, labels, rules=()).collect()
+    assert {r.path: r.verdict for r in got} == {p: "allow" if good else "block" for p, good in paths}
+    assert {r.template for r in got if r.verdict == "block"} == {"a/b/c/d/spam/**"}
+    assert len({r.template for r in got if "/item-" in r.path}) == 1
