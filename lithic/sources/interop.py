@@ -16,10 +16,10 @@ ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
 
 def _first_file(spark: SparkSession, path: str) -> str:
     """A file of the set: the first in order of names, with hidden ones left out."""
-    listed = sorted(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path").limit(1000).collect())
-    if not listed:
+    first = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).agg(F.min("path")).first()[0]
+    if first is None:
         raise FileNotFoundError(path)
-    return listed[0][0]
+    return first
 
 
 def _footer(spark: SparkSession, path: str) -> pa.Schema:

@@ -54,3 +54,15 @@ def test_ordinals_keep_order(spark):
     ints = [None, -(1 << 63), -5, 0, 7, (1 << 63) - 1]
     keys = [r.k for r in spark.createDataFrame([(n, v) for n, v in enumerate(ints)], "n int, v long").select("n", bits(F.col("v")).alias("k")).orderBy("n").collect()]
     assert keys[0] == "0" * 64 and keys[1:] == sorted(keys[1:])
+
+
+def test_schema_is_of_the_first_of_many_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"first": [1]}), tmp_path / "a.parquet")
+    pq.write_table(pa.table({"other": ["x" * 500], "more": [2]}), tmp_path / "b0.parquet")
+    whole = (tmp_path / "b0.parquet").read_bytes()
+    for n in range(1, 1100):
+        (tmp_path / f"b{n}.parquet").write_bytes(whole)
+    assert [r.name for r in interop.parquet_schema(spark, str(tmp_path)).collect()] == ["first"]
