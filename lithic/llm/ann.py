@@ -132,14 +132,12 @@ def search_block(queries: pd.DataFrame, entries: pd.DataFrame, index: Index, k:
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id and vec (doubles) of the rows that take part: a vector without null, non-finite or only zero components, of the most common length."""
+    """vec_id and vec (doubles) of the rows that take part: a vector without null, non-finite or only zero components."""
     # Adding 0.0 makes -0.0 equal to 0.0 also by its bits.
     vec = F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec")).where(
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec")).where(
         F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0.0)
     )
-    common = rows.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    return rows.where(F.size("vec") == (common.dims if common else 0))
 
 
 def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -147,10 +145,24 @@ def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec
 
     Ties go to smaller ids.  Rows with a null id take no part; rows that
     repeat an id with the same vector count once.  With fewer candidates than
-    ``k`` all are returned; an empty table gives an empty result.
+    ``k`` all are returned; an empty table gives an empty result.  There is no
+    distance between vectors of different lengths: each length is searched by
+    itself.
     """
-    spark = vectors.sparkSession
     rows = materialize(usable(vectors, id_col, vec_col).distinct().withColumn("key", F.xxhash64("vec")), "vectors")
+    lengths = sorted(r.dims for r in rows.select(F.size("vec").alias("dims")).distinct().collect())
+    if len(lengths) < 2:
+        return search_length(rows, is_query, k)
+    found = None
+    for dims in lengths:
+        part = search_length(rows.where(F.size("vec") == dims), is_query, k)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def search_length(rows: DataFrame, is_query, k: int) -> DataFrame:
+    """``search`` among ``rows`` (vec_id, vec, key), whose vectors are of one length."""
+    spark = rows.sparkSession
     count = rows.count()
     dims = len(rows.first().vec) if count else 1
     lists = max(1, min(MOST_LISTS, 2 * int(np.sqrt(count))))

@@ -33,6 +33,14 @@ def test_search_with_odd_rows(spark):
     assert ann.search(df.where("vec_id in (1, 2)"), F.lit(True)).count() == 2
 
 
+def test_each_length_is_searched(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=4 if i < 30 else 3)]) for i in range(40)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True), k=3).collect()
+    want = exact(rows[:30], 3) | exact(rows[30:], 3)
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {(q, n + 1, i) for q, near in want.items() for n, (_, i) in enumerate(near)}
+
+
 def test_recall(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
