@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import gram_counts, joined_utf8, slices, unused
+from .shared import gram_counts, joined_utf8, released, slices, unused
 
 DIMS = 4096
 ORDER = 3
@@ -152,12 +152,12 @@ def train(docs: DataFrame, rows: Column | None = None) -> Model:
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     each = max(1, min(PER_LANGUAGE, SAMPLE // max(1, len(languages))))
-    freq = {r.dim: r.n for r in known.select("text").mapInArrow(document_frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
+    freq = {r.dim: r.n for r in known.select("text").mapInArrow(lambda b: released(document_frequencies(b)), "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
     idf = np.log((1.0 + freq.get(-1, 0)) / (1.0 + np.array([freq.get(d, 0) for d in range(DIMS)]))).astype(np.float32) + np.float32(1.0)
     share = F.lit(0)
     for lang in languages:
         share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, -(-(each << 20) // sizes[lang])))).otherwise(share)
-    drawn = known.where(F.pmod(F.col("draw"), F.lit(1 << 20)) < share).select("lang", "text").mapInArrow(sample_counts, "lang string, roots binary").collect()
+    drawn = known.where(F.pmod(F.col("draw"), F.lit(1 << 20)) < share).select("lang", "text").mapInArrow(lambda b: released(sample_counts(b)), "lang string, roots binary").collect()
     drawn.sort(key=lambda r: (r.lang, bytes(r.roots)))
     centroids, measured = [], []
     for n, lang in enumerate(languages):
@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select("*", text.alias(unused("text", docs.columns)), text.rlike(r"\p{L}").alias(unused("letters", docs.columns)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(lambda b: label_batches(b, shared.value), f"{schema}, __lang_pred string, __score double, __rejected boolean")
+    return rows.mapInArrow(lambda b: released(label_batches(b, shared.value)), f"{schema}, __lang_pred string, __score double, __rejected boolean")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

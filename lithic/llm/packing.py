@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .shared import materialize
+from .shared import materialize, released
 
 LENGTH = 2048
 BLOCK_PIECES = 12_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 END_ID = 0
 WEIGHTS = (1.0, 1e-3, 1e-3)
 #: Letters below this are one character each in composed form, and lower-case alike everywhere.
@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lambda b: piece_batches(b, definition.value, length, end_id), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lambda b: released(piece_batches(b, definition.value, length, end_id)), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights=WEIGHTS) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import gram_counts, joined_utf8, slices, unused
+from .shared import gram_counts, joined_utf8, released, slices, unused
 
 GRAMS = 256
 SHAPE = 24
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows = docs.where(train_fold()).select("doc_id", "text")
     pos = rows.where(draw("p") < below(n_pos)).join(chosen, "doc_id").select("positive", draw("p").alias("draw"), "text")
     unl = rows.where(draw("u") < below(n_unl)).select(F.lit(False).alias("positive"), draw("u").alias("draw"), "text")
-    got = pos.unionByName(unl).mapInArrow(sample_features, "positive boolean, draw long, x binary").collect()
+    got = pos.unionByName(unl).mapInArrow(lambda b: released(sample_features(b)), "positive boolean, draw long, x binary").collect()
     got.sort(key=lambda r: (r.draw, bytes(r.x)))
     x = {k: np.array([np.frombuffer(r.x, np.float16) for r in got if r.positive is k], np.float32).reshape(-1, DIMS) for k in (True, False)}
     return fit(x[True], x[False])
@@ -226,7 +226,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     rows = docs.select("*", F.coalesce(F.col(text_col), F.lit("")).alias(unused("text", docs.columns)))
-    return rows.mapInArrow(lambda b: score_batches(b, shared.value), f"{schema}, __score double")
+    return rows.mapInArrow(lambda b: released(score_batches(b, shared.value)), f"{schema}, __score double")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

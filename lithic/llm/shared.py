@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -85,13 +87,13 @@ BROADCAST_IDS = 1_000_000
 
 
 def join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents with (left_semi) or without (left_anti) the ids of ``ids`` (doc_id), which is counted first.
+    """Documents with (left_semi) or without (left_anti) the ids of ``ids`` (columns of ``docs``), which is counted first.
 
     A list of checked size is broadcast, so that whole texts aren't shuffled
     only to be left out; a longer one takes the ordinary join.
     """
     ids = materialize(ids, "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ids.columns, how)
 
 
 def unused(name: str, columns: list[str]) -> str:
@@ -101,7 +103,44 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, column: str | int = "text", most: int = 1 << 20, rows: int = 256):
+def release() -> None:
+    """Give freed memory of this worker back to the system; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def released(batches):
+    """``batches``, giving back freed memory after each and at the end."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+    release()
+
+
+def whole_groups(batches, keys: list[str]):
+    """Record batches cut and joined so that none parts a group: rows, sorted by ``keys``, that agree in them."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest = batch if rest is None else pa.concat_batches([rest, batch])
+        same = np.ones(rest.num_rows, bool)
+        for key in keys:
+            values = rest.column(key).to_numpy(zero_copy_only=False)
+            same &= values == values[-1]
+        begin = rest.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+        if begin:
+            yield rest.slice(0, begin)
+            rest = rest.slice(begin)
+    if rest is not None:
+        yield rest
+
+
+def slices(batch: pa.RecordBatch, column: str | int = "text", most: int = 1 << 18, rows: int = 128):
     """Yield (first row, rows) of ``batch`` so that each slice holds about ``most`` bytes of text and at most ``rows`` rows."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths, dtype=np.int64)
