@@ -20,13 +20,12 @@ link between different sets is lost beyond the bands' own chance of a miss
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import join_ids, joined_utf8, materialize, slices
+from .shared import join_ids, joined_utf8, materialize, released, slices, whole_groups
 
 WORDS = 5
 PERCENT = 75
@@ -37,6 +36,10 @@ MANTISSA = 10
 #: Estimates this far below the threshold are still verified: 4.5 standard deviations of the estimate.
 MARGIN = 4.5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 CHUNK = 400
+#: Bytes of shingle sets that a chunk holds, unless a single set is larger.
+CHUNK_BYTES = 1 << 22
+#: Work that a task gets: pairs of nodes, rows, bytes of sets.
+PAIRS_TASK, ROWS_TASK, BYTES_TASK = 1 << 21, 1 << 15, 1 << 24
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -160,16 +163,19 @@ def sketch_batches(batches):
                 keys[full] = registers([sets[k] for k in full]).view(np.int64)
             sums = np.array([[mix(s).sum(dtype=np.uint64), mix(s ^ _ODD).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(n, 2).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), lists], ["doc_id", "n", "s1", "s2", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(at, n), batch.column("uid").slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), lists],
+                ["doc_id", "uid", "n", "s1", "s2", "keys"],
+            )
 
 
 def set_batches(batches):
     for batch in batches:
-        for at, n in slices(batch, rows=128):
+        for at, n in slices(batch):
             sets = shingles(*joined_utf8(batch.column("text").slice(at, n)))
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("uid").slice(at, n), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["node", "hashes"])
 
 
 def _registers_of(column) -> np.ndarray:
@@ -186,119 +192,167 @@ def likely_batches(batches):
             yield batch.filter(pa.array(good)).select(["a", "b"])
 
 
-def bands_share(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray:
-    """Do both agree in an earlier band?  Then an earlier bucket has the pair."""
-    return (x[:, :band] == y[:, :band]).any(axis=1) if band else np.zeros(len(x), bool)
-
-
-def _cross(part: pd.DataFrame):
-    """Row pairs of a pair of chunks that belong to different components and are this bucket's to compare."""
-    lo, hi, band = part["lo"].iloc[0], part["hi"].iloc[0], int(part["band"].iloc[0])
-    keys = np.stack(part["keys"].to_numpy()).astype(np.int64)
-    chunk, comp = part["chunk"].to_numpy(), part["component"].to_numpy()
-    left = np.flatnonzero(chunk == lo)
-    for i in left:
-        others = np.flatnonzero((chunk == hi) & (comp != comp[i]))
-        if lo == hi:
-            others = others[others > i]
-        if len(others):
-            others = others[~bands_share(np.broadcast_to(keys[i], (len(others), BANDS)), keys[others], band)]
-        if len(others):
-            yield i, others, keys
-
-
-def hopeful(part: pd.DataFrame) -> pd.DataFrame:
-    """Nodes of a pair of chunks with a partner whose estimate may reach the threshold."""
-    n = part["n"].to_numpy()
-    mark = np.zeros(len(part), bool)
-    for i, others, keys in _cross(part):
-        regs = keys.view(np.uint16)
-        good = others[may_link(np.broadcast_to(regs[i], (len(others), REGISTERS)), regs[others], np.full(len(others), n[i]), n[others])]
-        mark[good] = True
-        mark[i] |= len(good) > 0
-    return part.loc[mark, ["band", "key", "lo", "hi", "chunk", "node", "component", "n", "keys"]]
-
-
-def linked(part: pd.DataFrame) -> pd.DataFrame:
-    """Links between components within a pair of chunks, verified on full sets; one between any two components is enough."""
-    sets = [np.asarray(h, np.int64) for h in part["hashes"]]
-    node, comp, n = part["node"].to_numpy(), part["component"].to_numpy(), part["n"].to_numpy()
-    root = {c: c for c in comp}
-
-    def find(c):
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
+#: Pairs whose registers are compared at a time.
+PAIRS = 4096
+GROUP = ["band", "key", "lo", "hi"]
 
-    out = []
-    for i, others, keys in _cross(part):
-        regs = keys.view(np.uint16)
-        good = others[may_link(np.broadcast_to(regs[i], (len(others), REGISTERS)), regs[others], np.full(len(others), n[i]), n[others])]
-        for j in good:
+
+def candidates(batch: pa.RecordBatch):
+    """Yield (i, j, estimate) of row pairs of ``batch``, which holds whole groups, that may reach the threshold.
+
+    A pair stands in one group, in different components and, if the group
+    joins two chunks, in different chunks; it belongs to the first band that
+    it shares.  Rows are paired with those 1, 2, 3 ... places further on, for
+    all groups at once, so nothing is looped over by group or row.
+    """
+    columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in [*GROUP, "chunk", "component", "n"]}
+    keys = batch.column("keys").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, BANDS)
+    regs = keys.view(np.uint16)
+    new = np.zeros(batch.num_rows, bool)
+    for c in GROUP:
+        new[1:] |= columns[c][1:] != columns[c][:-1]
+    group, n = np.cumsum(new), columns["n"].astype(np.int64)
+    across = columns["lo"] != columns["hi"]
+    for apart in range(1, batch.num_rows):
+        first = np.flatnonzero(group[apart:] == group[:-apart])
+        if not len(first):
+            break
+        second = first + apart
+        good = columns["component"][first] != columns["component"][second]
+        good &= ~across[first] | (columns["chunk"][first] != columns["chunk"][second])
+        good &= 100 * np.minimum(n[first], n[second]) >= PERCENT * np.maximum(n[first], n[second])
+        first, second = first[good], second[good]
+        for at in range(0, len(first), PAIRS):
+            i, j = first[at : at + PAIRS], second[at : at + PAIRS]
+            # Registers that agree are never fewer than the estimate says.
+            good = (regs[i] == regs[j]).mean(axis=1) >= PERCENT / 100 - MARGIN
+            i, j = i[good], j[good]
+            earlier = (keys[i] == keys[j]) & (np.arange(BANDS) < columns["band"][i][:, None])
+            i, j = i[~earlier.any(axis=1)], j[~earlier.any(axis=1)]
+            if len(i):
+                like = estimate(regs[i], regs[j], n[i], n[j])
+                good = like >= PERCENT / 100 - MARGIN
+                yield i[good], j[good], like[good]
+
+
+def hopeful_batches(batches):
+    """Rows with a partner whose estimate may reach the threshold."""
+    for batch in whole_groups(batches, GROUP):
+        mark = np.zeros(batch.num_rows, bool)
+        for i, j, _ in candidates(batch):
+            mark[i] = mark[j] = True
+        yield batch.filter(pa.array(mark))
+
+
+def linked_batches(batches):
+    """Links between components, verified on full sets, the likeliest first; one between any two components is enough."""
+    for batch in whole_groups(batches, GROUP):
+        found = list(candidates(batch))
+        first, second, like = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+        node, comp = (batch.column(c).to_numpy() for c in ("node", "component"))
+        hashes = batch.column("hashes")
+        offsets, flat = hashes.offsets.to_numpy(), hashes.values.to_numpy(zero_copy_only=False)
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
+        out = []
+        for k in np.lexsort((second, first, -like)):
+            i, j = first[k], second[k]
             a, b = find(comp[i]), find(comp[j])
             if a == b:
                 continue
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * shared >= PERCENT * (len(sets[i]) + len(sets[j]) - shared):
+            x, y = flat[offsets[i] : offsets[i + 1]], flat[offsets[j] : offsets[j + 1]]
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * shared >= PERCENT * (len(x) + len(y) - shared):
                 root[a] = b
                 out.append((node[i], node[j]))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text).
 
     Null and empty texts, and texts of white space, have no shingles and are
-    linked with nothing.  Texts of fewer than five words are one shingle.  A
-    row with a null id is its own component, with a null id, and is kept.
-    Repeated ids with the same text are one document, whose rows are all
-    returned.  An empty table gives an empty result.
+    linked with nothing.  Texts of fewer than five words are one shingle; long
+    texts are read whole.  A row with a null id is its own component, with a
+    null id, and is kept.  Rows that repeat an id are judged each by its own
+    text; every row with a component's smallest id is kept.  An empty table
+    gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    sketches = materialize(docs.mapInArrow(sketch_batches, "doc_id long, n long, s1 long, s2 long, keys array<long>"), "sketches")
-    repeated = sketches.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    # One node for each different set: the smallest id that has it.
+    repeated = bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
+    # What a text is known by: its id, or with repeated ids a hash of id and text.
+    docs = docs.withColumn("uid", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text") if repeated else F.col("doc_id")))
+    sketches = materialize(docs.mapInArrow(lambda b: released(sketch_batches(b)), "doc_id long, uid long, n long, s1 long, s2 long, keys array<long>"), "sketches")
+    # One node for each different set: the smallest uid that has it.  Equal sets have equal keys.
     full = sketches.where("n > 0 and doc_id is not null")
-    nodes = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
-    reps = materialize(full.join(nodes, ["n", "s1", "s2"]).where("doc_id = node").dropDuplicates(["node"]).select("node", "n", "keys"), "nodes")
-    rows = reps.select("node", F.posexplode("keys").alias("band", "key"))
-    crowded = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    reps = materialize(full.groupBy("n", "s1", "s2").agg(F.min("uid").alias("node"), F.first("keys").alias("keys")), "nodes")
+    rows = reps.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    # Crowded buckets are a table of their own, so that the join can split a hot one.
+    crowded = materialize(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "crowded")
     members = materialize(rows.join(crowded, ["band", "key"]), "members")
     # The centre of a bucket is the node that shares most: an origin has most in common with its copies.
-    rank = members.groupBy("node").agg(F.sum("c").alias("s"))
-    ranked = members.join(rank, "node")
-    centres = ranked.groupBy("band", "key").agg(F.max(F.struct("s", (-F.col("node")).alias("minus"))).alias("top")).select("band", "key", (-F.col("top.minus")).alias("centre"))
-    pairs = members.select("band", "key", "node").join(centres, ["band", "key"]).where("node <> centre").groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
+    rank = materialize(members.groupBy("node").agg(F.sum("c").alias("s")), "rank")
+    top = F.max(F.struct("s", (-F.col("node")).alias("minus"))).alias("top")
+    centres = materialize(members.join(rank, "node").groupBy("band", "key").agg(top).select("band", "key", (-F.col("top.minus")).alias("centre")), "centres")
+    pairs = members.select("band", "key", "node").join(centres, ["band", "key"]).where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     side = lambda node, n, keys: reps.select(F.col("node").alias(node), F.col("n").alias(n), F.col("keys").alias(keys))
-    likely = materialize(pairs.drop("bands").join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").mapInArrow(likely_batches, "a long, b long"), "likely")
-    star = materialize(_verified(docs, likely, repeated), "links")
+    likely = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").mapInArrow(lambda b: released(likely_batches(b)), "a long, b long")
+    star = materialize(_verified(docs, materialize(likely, "likely"), repeated), "links")
     comps = materialize(connected_components(star), "components")
 
-    # Buckets that still hold several components are compared in full.
-    placed = members.drop("c").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high").select("band", "key", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks"))
-    # A component's nodes go to one chunk after another only when it is larger than a chunk.
-    dealt = placed.join(split, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    each = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("lo"), F.greatest(k, F.col("chunk")).alias("hi")))
-    dealt = dealt.withColumn("pair", F.explode(each)).select("band", "key", "pair.lo", "pair.hi", "chunk", "node", "component").join(reps, "node")
-    fields = "band int, key long, lo int, hi int, chunk int, node long, component long, n long, keys array<long>"
-    hoped = materialize(dealt.groupBy("band", "key", "lo", "hi").applyInPandas(hopeful, fields), "hopeful")
-    sets = _sets(docs, hoped.select("node").distinct(), repeated)
-    more = hoped.join(sets, "node").groupBy("band", "key", "lo", "hi").applyInPandas(linked, "a long, b long")
-    every = materialize(star.select("a", "b").union(more), "all-links")
-    final = materialize(connected_components(every), "final")
-    by_set = nodes.join(final, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
-    named = full.select("doc_id", "n", "s1", "s2").join(by_set, ["n", "s1", "s2"]).select("doc_id", "n", "component_id")
+    more = _compared(docs, reps, members, comps, repeated)
+    final = materialize(connected_components(star.union(more) if more is not None else star), "final")
+    if repeated:  # components go by the least uid; they are named by the least id
+        least = reps.join(full.select("n", "s1", "s2", "doc_id"), ["n", "s1", "s2"]).join(final, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("doc_id").alias("least"))
+        by_set = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")).join(least, "component").select("n", "s1", "s2", F.col("least").alias("component_id"))
+    else:
+        by_set = reps.join(final, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
+    # Both sides are read from tables, so that the join can split a set that many documents have.
+    named = full.select("doc_id", "n", "s1", "s2").join(materialize(by_set, "by-set"), ["n", "s1", "s2"]).select("doc_id", "n", "component_id")
     alone = sketches.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return named.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _compared(docs: DataFrame, reps: DataFrame, members: DataFrame, comps: DataFrame, repeated: bool) -> DataFrame | None:
+    """Further links (a, b) within buckets that still hold several components, compared node by node.
+
+    Chunks are bounded by nodes and by the bytes of their sets; the number of
+    tasks follows the number of pairs.
+    """
+    placed = materialize(members.drop("c").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    size = F.greatest(F.ceil(F.col("c") / CHUNK), F.ceil(F.col("total") / (CHUNK_BYTES // 8))).cast("int")
+    split = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("total"))
+    split = materialize(split.where("low <> high").select("band", "key", "c", size.alias("chunks")), "split")
+    work = split.agg(F.sum(F.col("c") * F.col("c")).alias("pairs"), F.sum(F.col("c") * F.col("chunks")).alias("rows")).first()
+    if not work["rows"]:
+        return None
+    spread = lambda most: max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(most))
+    tasks = spread(max(work["pairs"] / PAIRS_TASK, work["rows"] / ROWS_TASK))
+    dealt = placed.drop("n").join(split.drop("c"), ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    pair = lambda k: F.struct(F.least(k, F.col("chunk")).alias("lo"), F.greatest(k, F.col("chunk")).alias("hi"))
+    dealt = dealt.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), pair)))
+    dealt = dealt.select("band", "key", "pair.lo", "pair.hi", "chunk", "node", "component").join(reps.select("node", "n", "keys"), "node")
+    fields = "node long, band int, key long, lo int, hi int, chunk int, component long, n long, keys array<long>"
+    hoped = materialize(dealt.repartition(tasks, *GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda b: released(hopeful_batches(b)), fields), "hopeful")
+    size = hoped.agg(F.sum(8 * F.col("n"))).first()[0]
+    if not size:
+        return None
+    sets = _sets(docs, hoped.select("node").distinct(), repeated)
+    dealt = hoped.join(sets, "node").repartition(spread(size / BYTES_TASK), *GROUP).sortWithinPartitions(*GROUP)
+    return materialize(dealt.mapInArrow(lambda b: released(linked_batches(b)), "a long, b long"), "more-links")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
-    """node, hashes: full shingle sets of the wanted ids; texts of others are dropped before anything is computed."""
-    found = join_ids(docs, wanted.select(F.col("node").alias("doc_id")), "left_semi")
-    sets = found.mapInArrow(set_batches, "node long, hashes array<long>")
-    # Rows that repeat an id have the same set; one is enough.  Without such rows nothing is shuffled.
+    """node, hashes: full shingle sets of the wanted uids; texts of others are dropped before anything is computed."""
+    found = join_ids(docs, wanted.select(F.col("node").alias("uid")), "left_semi")
+    sets = found.select("uid", "text").mapInArrow(lambda b: released(set_batches(b)), "node long, hashes array<long>")
+    # Rows that repeat an id with the same text have the same set; one is enough.  Without such rows nothing is shuffled.
     return materialize(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
 
 
