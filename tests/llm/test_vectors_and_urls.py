@@ -142,3 +142,27 @@ def test_deep_branches_are_judged_apart(spark):
     assert {r.path: r.verdict for r in got} == {p: "allow" if good else "block" for p, good in paths}
     assert {r.template for r in got if r.verdict == "block"} == {"a/b/c/d/spam/**"}
     assert len({r.template for r in got if "/item-" in r.path}) == 1
+
+
+def test_scan_abandons_candidates_early(spark):
+    """With the bound carried on, nearest list first, few of the components are read, and nearly all neighbours are found."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    ids, vectors = zip(*((r.vec_id, r.embedding) for r in rows.collect()), strict=True)
+    x = np.array(vectors, np.float64)
+    usable = ann.usable(rows, "vec_id", "embedding").withColumn("key", F.xxhash64("vec"))
+    index, entries = ann.build(usable, 10)
+    assert entries.select("cell").distinct().count() > 8
+    turned = x @ index.rotation
+    own = ann.nearest(turned, index.centroids, 1)[:, 0]
+    order = np.argsort(own, kind="stable")
+    starts = np.searchsorted(own[order], np.arange(len(index.centroids) + 1))
+    read = hits = whole = 0
+    for q in range(0, len(x), 10):
+        lists = ann.nearest(turned[q : q + 1], index.centroids, index.probes)[0]
+        found, cost = ann.visit(turned[q], turned[order], [(starts[c], starts[c + 1]) for c in lists if starts[c] < starts[c + 1]], np.inf, 11)
+        true = np.argsort(np.square(x - x[q]).sum(axis=1), kind="stable")[:11]
+        hits += len(set(order[found]) & set(true))
+        whole += sum(starts[c + 1] - starts[c] for c in lists) * x.shape[1]
+        read += cost
+    searched = len(range(0, len(x), 10))
+    assert read < 0.5 * x.size * searched and read < 0.65 * whole and hits >= 0.9 * 11 * searched
