@@ -29,7 +29,8 @@ LENGTH = 2048
 BLOCK_PIECES = 12_000
 MEMO_WORDS = 100_000
 END_ID = 0
-WEIGHTS = (1.0, 1e-3, 1e-3)
+#: Of what would be left of tokens, documents and attention cost.
+WEIGHTS = (1.0, 0.5, 0.5)
 #: Letters below this are one character each in composed form, and lower-case alike everywhere.
 PLAIN_LETTERS = "\u0250"
 
@@ -47,7 +48,8 @@ class WordTokenizer:
     Where the tokenizer drops white space before it merges, texts are cut at
     spaces and line breaks and what a word gives is remembered.  Words of plain
     letters go to the merging model at once, as nothing else would change them.
-    Other tokenizers get whole texts.
+    Other tokenizers get whole texts, and so do texts that may hold one of the
+    tokenizer's added tokens, which it looks for before anything else.
     """
 
     def __init__(self, definition: str):
@@ -55,9 +57,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_str(definition)
-        self.inner.encode_special_tokens = True
         self.model, self.letters = self.inner.model, byte_letters()
         kinds = json.loads(definition)
+        self.added = [t["content"].lower() for t in kinds.get("added_tokens") or []]
         normal = [n["type"] for n in (kinds["normalizer"] or {}).get("normalizers", [])]
         before = (kinds["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.by_word = normal == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in before] == ["Split", "ByteLevel"] and before[0]["invert"] and before[0]["behavior"] == "Removed" and "\\s" in before[0]["pattern"]["Regex"] and not before[1]["add_prefix_space"]
@@ -78,7 +80,8 @@ class WordTokenizer:
         return self._ids(word)
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_word:
+        low = text.lower()
+        if not self.by_word or any(t in low for t in self.added):
             return self._ids(text)
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
@@ -154,8 +157,10 @@ def pack(parts: DataFrame, length: int = LENGTH, max_documents: int | None = Non
     """Add sequence_id and offset to pieces.
 
     Without caps on documents and attention cost these are set so that only
-    tokens bind.  Repeated rows are packed each; rows with null ids too; an
-    empty table gives an empty result.
+    tokens bind, while what is left of all three still chooses the sequence.
+    Repeated rows are packed each; rows with null ids too; pieces of one length
+    go by id and piece, bins of one norm by age; an empty table gives an empty
+    result.
     """
     capacity = (float(length), float(max_documents or length), float(max_attention or length * length))
     parts = materialize(parts, "pieces")
