@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from .shared import LOWER, UPPER, materialize
 
-COUNTERS = 512
+COUNTERS = 4096
+#: A digest is hot from this share of all rows on, or from this many rows, which one task still joins with ease.
+HOT_SHARE = 1e-3
+HOT_ROWS = 100_000
 
 
 def summarise(batches, counters: int):
@@ -43,14 +46,15 @@ def with_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("digest"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, hot_share: float = 1e-3) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, hot_share: float = HOT_SHARE) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest id stays.  Null text counts as
     empty.  A null id never wins over another id; a group with null ids only
     has a null keep_id and keeps nothing.  Repeated ids are rows of their own:
-    each counts in group_size, and all rows of the winning id are kept.  An
-    empty table gives an empty result; other columns are ignored.
+    each counts in group_size, and all rows of the winning id are kept.  Texts
+    are read whole, however long.  An empty table gives an empty result; other
+    columns are ignored.
     """
     rows = materialize(with_digest(docs, id_col, text_col), "digests")
     total = rows.count()
@@ -68,7 +72,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows.join(F.broadcast(candidates.select("digest")), "digest", "left_semi")
         .groupBy("digest")
         .agg(*per_digest)
-        .where(F.col("group_size") >= F.lit(max(2.0, hot_share * total))),
+        .where(F.col("group_size") >= F.lit(max(2.0, min(hot_share * total, HOT_ROWS)))),
         "winners",
     )
     hot = rows.join(F.broadcast(winners), "digest")
