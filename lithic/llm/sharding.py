@@ -80,13 +80,15 @@ def splitters(rows: DataFrame, targets: list[float], slack: float, key: str, bel
     return [done[t] for t in targets]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Size is the UTF-8 bytes of the text plus 1 (null: 1; its CRC is that of
     the empty text).  Shards differ by the tolerance or by about one document.
     Slots run from 0 without gaps in each shard.  A null doc_id orders as -1;
-    repeated rows each get a slot; an empty table gives an empty result.
+    repeated rows each get a slot; texts count whole, however long; an empty
+    table gives an empty result.  With ``carry`` a last column ``row`` holds
+    each input row.
     """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     top = F.lit((1 << WIDTH) - 1)
@@ -98,6 +100,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOL
             F.xxhash64(raw).bitwiseAND(top).alias("hash"),
             # Ties within a group are broken by a hash of the id, spread over the same width.
             F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1))).bitwiseAND(top).alias("tie"),
+            *([F.struct("*").alias("row")] if carry else []),
         ),
         "sizes",
     )
@@ -136,13 +139,21 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOL
         "shard",
         (F.col("nth") + F.col("before")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        *(["row"] if carry else []),
     )
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Write whole documents under ``path``, one folder per shard, in slot order within files."""
-    where = shard_by_bytes(docs, **options).select("doc_id", "shard", "slot")
-    docs.join(where, "doc_id").repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write the rows of ``docs`` under ``path``, one folder ``shard=N`` per shard, in slot order within files, with a column slot.
+
+    Every row is written once, those with null or repeated ids too: rows move
+    with their places, they aren't joined to them.  Columns of ``docs`` named
+    shard or slot, in any case, are replaced; an empty table writes no shard.
+    """
+    taken = [c for c in docs.columns if c.lower() in ("shard", "slot")]
+    placed = shard_by_bytes(docs, **options, carry=True)
+    columns = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in taken]
+    placed.select(*columns, "slot", "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -48,6 +48,13 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_hot_from_a_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 3)
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.when(F.col("id") % 500 < 2, F.col("id") % 500).otherwise(F.col("id"))).alias("text"))
+    got = exact_dedup.exact_dedup(many, hot_share=0.5)
+    assert got.where("group_size = 6").count() == 12 and got.where("kept").count() == 3000 - 10
+
+
 def test_exact_dedup_heavy_hitters(spark):
     many = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
     got = exact_dedup.exact_dedup(many, counters=4)
@@ -239,7 +246,6 @@ def test_packing(docs, empty):
 
     path = P.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     got = packing.pack_documents(docs.where("doc_id is not null and doc_id <> 6"), path).collect()
     for n, text in [(r[0], r[1]) for r in rows() if r[0] not in (None, 6)]:
         ids = np.asarray([*lib.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -256,6 +262,62 @@ def test_packing(docs, empty):
     assert packing.pack_documents(docs, path).where("doc_id = 6").count() == 2
 
 
+def test_word_ids_against_the_untouched_library():
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        mine = packing.WordTokenizer(f.read())
+    random.seed(8)
+    parts = ["hello", " ", "world.", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|> ", "<|", "don't", "\n", "\u00e9t\u00e9", "e\u0301", "\u65e5\u672c", "42,", "x<|endoftext|>y", "\u00a0", "<w/>", "\u212a"]
+    for _ in range(2000):
+        text = "".join(random.choice(parts) for _ in range(random.randint(0, 12)))
+        assert np.frombuffer(mine(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(mine("hello <|endoftext|> world"), "<u4").tolist() == [3306, 49407, 1002]
+
+
+def plain_best_fit(lengths, capacity, weights):
+    bins, out = [], []
+    for size in lengths:
+        need = (size, 1, size * size)
+        fits = [(sum(w * ((c - n) / whole) ** 2 for w, c, n, whole in zip(weights, left, need, capacity)), k) for k, left in enumerate(bins) if all(c >= n for c, n in zip(left, need))]
+        k = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append(list(capacity))
+        bins[k] = [c - n for c, n in zip(bins[k], need)]
+        out.append(k)
+    return out
+
+
+def test_best_fit_against_a_plain_form_and_the_scalar_choice():
+    import numpy as np
+
+    rng, differs = np.random.default_rng(4), 0
+    for capacity in ((100.0, 100.0, 10_000.0), (100.0, 6.0, 4000.0)):
+        for _ in range(40):
+            lengths = np.sort(rng.integers(1, 64, 60))[::-1]
+            bins, _ = packing.best_fit(lengths, capacity)
+            assert bins.tolist() == plain_best_fit(lengths.tolist(), capacity, packing.WEIGHTS)
+            differs += bins.tolist() != packing.best_fit(lengths, capacity, (1.0, 0.0, 0.0))[0].tolist()
+    assert differs > 20
+
+
+def test_written_shards_hold_every_row_once(docs, empty, tmp_path):
+    whole = docs.withColumn("Slot", F.lit("clash"))
+    sharding.write_shards(whole, f"file://{tmp_path}/s", shards=3)
+    got = docs.sparkSession.read.parquet(f"file://{tmp_path}/s")
+    text = lambda df: sorted(map(str, df.select(*docs.columns).collect()))
+    assert text(got) == text(docs)
+    for s in {r.shard for r in got.collect()}:
+        slots = sorted(r.slot for r in got.where(F.col("shard") == s).collect())
+        assert slots == list(range(len(slots)))
+    sharding.write_shards(empty, f"file://{tmp_path}/e")
+
+
 def test_best_fit_keeps_every_capacity():
     import numpy as np
 
