@@ -1,9 +1,11 @@
 """Managed tables: immutable Parquet segments, a manifest of statistics, delete vectors and a snapshot log.
 
 A table is a folder.  ``_log`` has one JSON file per version, created
-exclusively, which is what commits; it names the manifests (one row a segment,
-with bounds, sums and counts by column), the segments dropped from them, and the
-delete vectors (segment, row index).  Reading takes the segments whose
+exclusively, which is what commits (the store must refuse to create a file that
+is there: HDFS and local disks do, an object store needs a connector that does);
+it names the manifests (one row a segment, with bounds, sums and counts by
+column) with the first row id of each, the segments dropped from them, and the
+delete vectors (segment, row index, row id).  Reading takes the segments whose
 statistics allow a match, filters every row again, and leaves out deleted rows
 by an anti-join.
 """
@@ -13,7 +15,7 @@ from __future__ import annotations
 import copy
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -27,7 +29,9 @@ from lithic.sources import files
 
 FORMAT = 1
 ROWS_A_GROUP = 150_000
-OPTIONS = {"row_group_rows": ROWS_A_GROUP, "vector_rows": 10_000, "compression": "zstd", "compression_level": 3, "sort_by": None}
+#: Manifests that may stand side by side before they are folded into one.
+FOLD = 16
+OPTIONS = {"row_group_rows": ROWS_A_GROUP, "vector_rows": 10_000, "compression": "zstd", "compression_level": 3, "sort_by": None, "bloom": None}
 CODECS = ("none", "pglz", "lz4", "zstd")
 _NO_BOUNDS = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 _EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -143,8 +147,8 @@ class Table:
                 continue
             if k == "row_group_rows" and v < 1000 or k == "vector_rows" and v < 100 or k == "compression_level" and not 1 <= v <= 22 or k == "compression" and v not in CODECS:
                 raise ValueError(f"{k} is out of bounds: {v}")
-            if k == "sort_by" and (missing := [c for c in v if c not in self.schema.names]):
-                raise ValueError(f"sort_by has unknown columns {missing}")
+            if k in ("sort_by", "bloom") and (missing := [c for c in v if c not in self.schema.names]):
+                raise ValueError(f"{k} has unknown columns {missing}")
 
     def set_options(self, **options) -> None:
         self._check_options(options)
@@ -156,7 +160,8 @@ class Table:
     def add_column(self, name: str, kind: T.DataType, default=None) -> None:
         """No segment is rewritten: rows from before give the default."""
         schema = self.schema.add(name, kind, True)
-        self._commit(self._with(schema=json.loads(schema.json()), defaults=self.state["defaults"] | {name: default}))
+        late = [*self.state.get("late", []), *([name] if default is not None and self.state["manifests"] else [])]
+        self._commit(self._with(schema=json.loads(schema.json()), defaults=self.state["defaults"] | {name: default}, late=late))
 
     def alter_type(self, name: str, kind: T.DataType) -> None:
         """Rewrites all segments with a cast; fails, changing nothing, if a value doesn't fit."""
@@ -168,23 +173,37 @@ class Table:
 
     def manifest(self, live: bool = True) -> DataFrame:
         """One row a segment: segment, rows, bytes, base, part, deleted, and column.min, .max, .sum, .values, .nulls."""
-        parts = self.state["manifests"]
-        if not parts:
-            return self.spark.createDataFrame([], "segment string, rows long, bytes long, base long, part int, deleted long")
-        out = self.spark.read.parquet(parts[0])
-        for p in parts[1:]:
-            out = out.unionByName(self.spark.read.parquet(p), allowMissingColumns=True)
-        for p in self.state["dropped"]:
-            out = out.join(self.spark.read.parquet(p), "segment", "left_anti")
+        out = self._listed(self.state)
         gone = self._deletes()
         if gone is None:
             return out.withColumn("deleted", F.lit(0).cast("long"))
         counts = gone.groupBy(F.col(SEGMENT).alias("segment")).agg(F.count(F.lit(1)).alias("deleted"))
         return out.join(counts, "segment", "left").withColumn("deleted", F.coalesce("deleted", F.lit(0)))
 
+    def _listed(self, state: dict) -> DataFrame:
+        """The segments of a state; a manifest's rows count from its own first row, which the state holds."""
+        if not state["manifests"]:
+            return self.spark.createDataFrame([], "segment string, rows long, bytes long, base long, part int")
+        out = None
+        for m in state["manifests"]:
+            one = self.spark.read.parquet(m["path"]).withColumn("base", F.col("base") + F.lit(m["start"]))
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+        for p in state["dropped"]:
+            out = out.join(self.spark.read.parquet(p), "segment", "left_anti")
+        return out
+
+    def _folded(self, state: dict) -> dict:
+        """``state`` with its manifests in one, where there are many: a scan then reads a bounded number of them."""
+        if len(state["manifests"]) + len(state["dropped"]) <= FOLD:
+            return state
+        path = f"{self.path}/_manifest/{uuid.uuid4().hex}"
+        self._listed(state).coalesce(1).write.parquet(path)
+        return state | {"manifests": [{"path": path, "start": 0}], "dropped": []}
+
     def _deletes(self) -> DataFrame | None:
+        """Segment, index and row id of every deleted row.  Each delete takes live rows only, so none is there twice."""
         d = self.state["deletes"]
-        return self.spark.read.parquet(*d).dropDuplicates([SEGMENT, INDEX]) if d else None
+        return self.spark.read.parquet(*d) if d else None
 
     def _stats_columns(self, schema: T.StructType) -> list[Column]:
         out = []
@@ -197,17 +216,26 @@ class Table:
                 out.append(F.sum(c.cast("decimal(38,0)") if isinstance(f.dataType, _EXACT) else c).alias(f"{f.name}.sum"))
         return out
 
-    def _write_segments(self, rows: DataFrame, folder: str, next_row: int, statistics: bool = True) -> tuple[str, int]:
-        """Write rows as segments and their manifest; returns the manifest's path and the number of rows."""
-        options = self.state["options"]
+    def _write_segments(self, rows: DataFrame, folder: str, statistics: bool = True) -> tuple[str, int]:
+        """Write rows as segments and their manifest, which counts rows from 0; returns its path and the number of rows.
+
+        Segments are files of at most ``row_group_rows`` rows, with pages of at
+        most ``vector_rows``.
+        """
+        options = OPTIONS | self.state["options"]
         codec = {"pglz": "lz4_raw", "lz4": "lz4_raw", "none": "uncompressed"}.get(options["compression"], options["compression"])
         where = f"{self.path}/{folder}/{uuid.uuid4().hex}"
-        rows.write.option("maxRecordsPerFile", options["row_group_rows"]).option("compression", codec).parquet(where)
+        writer = rows.write.option("maxRecordsPerFile", options["row_group_rows"]).option("compression", codec)
+        writer = writer.option("parquet.page.row.count.limit", options["vector_rows"]).option("parquet.compression.codec.zstd.level", options["compression_level"])
+        for c in options["bloom"] or []:
+            if c in rows.columns:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(where)
         back = self.spark.read.schema(rows.schema).parquet(where)
         sizes = self.spark.createDataFrame([(f"{where}/{n}", s) for n, s in files.sizes(self.spark, where).items() if n.endswith(".parquet")], "segment string, bytes long")
         got = back.groupBy(F.concat(F.lit(where + "/"), F.col("_metadata.file_name")).alias("segment")).agg(F.count(F.lit(1)).alias("rows"), *(self._stats_columns(rows.schema) if statistics else []))
         before = F.coalesce(F.sum("rows").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        named = got.join(sizes, "segment").withColumn("base", before + F.lit(next_row)).withColumn("part", F.lit(len(self.state["manifests"])))
+        named = got.join(sizes, "segment").withColumn("base", before.cast("long")).withColumn("part", F.lit(len(self.state["manifests"])))
         path = f"{self.path}/_manifest/{uuid.uuid4().hex}"
         named.coalesce(1).write.parquet(path)
         return path, self.spark.read.parquet(path).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
@@ -243,7 +271,7 @@ class Table:
             path = F.col("_metadata.file_path")
             # Files may be named by another spelling of the same scheme (file:/ for file:///).
             out = read.select(*[F.col(f"`{f.name}`") for f in self.schema], F.regexp_replace(path, "^file:/+", "file:///").alias(SEGMENT), F.col("_metadata.row_index").alias(INDEX))
-            late = {c: v for c, v in self.state["defaults"].items() if v is not None}
+            late = {c: self.state["defaults"][c] for c in self.state.get("late", [])}
             if late:
                 have = self.manifest()
                 for c, v in late.items():
@@ -253,7 +281,7 @@ class Table:
                     out = out.join(F.broadcast(names), SEGMENT, "left").withColumn(c, F.when(F.col("__old"), F.lit(v).cast(kinds[c].dataType)).otherwise(F.col(f"`{c}`"))).drop("__old")
             gone = self._deletes()
             if gone is not None:
-                out = out.join(gone, [SEGMENT, INDEX], "left_anti")
+                out = out.join(gone.select(SEGMENT, INDEX), [SEGMENT, INDEX], "left_anti")
         for c, text in self.state["virtual"].items():
             out = out.withColumn(c, F.expr(text))
         return out
@@ -279,7 +307,8 @@ class Table:
             have = f"{c}.values" in m.columns
             return f == "count" and (c == "*" or have) or f in ("min", "max") and f"{c}.{f}" in m.columns or f in ("sum", "avg") and f"{c}.sum" in m.columns
 
-        if not all(exact(f, c) for f, c in wanted.values()) or self.state["defaults"]:
+        late = {*self.state.get("late", [])} & {c for _, c in wanted.values()}
+        if late or not all(exact(f, c) for f, c in wanted.values()):
             rows = self.scan()
             one = {"count": lambda c: F.count(F.lit(1) if c == "*" else F.col(c)), "min": F.min, "max": F.max, "sum": F.sum, "avg": F.avg}
             return rows.agg(*[one[f](c).alias(k) for k, (f, c) in wanted.items()])
@@ -333,18 +362,32 @@ class Table:
             if new.groupBy(*key).count().where("count > 1").limit(1).count() or new.join(against, key, "left_semi").limit(1).count():
                 raise ConstraintViolation(f"key {key} is there already")
 
-    def insert(self, rows: DataFrame) -> None:
+    def insert(self, rows: DataFrame, note: Callable[[dict], dict] | None = None) -> None:
+        """Append rows, sorted within segments where ``sort_by`` is set.  ``note`` gives what else the new state holds, from the state it follows."""
         rows = self._prepared(rows)
-        if self.state["unique"]:
+        if self.state["unique"] or self.state.get("exclusions"):
             self._check_unique(rows, self.scan())
-        path, n = self._write_segments(rows, "data", self.state["next_row"])
-        extend = lambda s: copy.deepcopy(s) | {"manifests": [*s["manifests"], path], "next_row": s["next_row"] + n, "feed": {"inserted": [path], "deleted": []}}
-        # Appends conflict with nothing, unless a key must stay unique.
-        self._commit(self._projected(extend(self.state)), None if self.state["unique"] or self.state["projections"] else extend)
+        if names := self.state["options"].get("sort_by"):
+            rows = rows.sortWithinPartitions(*[F.col(f"`{c}`").asc_nulls_last() for c in names])
+        path, n = self._write_segments(rows, "data")
+
+        def extend(s: dict) -> dict:
+            more = copy.deepcopy(s) | {"manifests": [*s["manifests"], {"path": path, "start": s["next_row"]}], "next_row": s["next_row"] + n, "feed": {"inserted": [path], "deleted": []}}
+            return more | (note(s) if note else {})
+
+        # Appends conflict with nothing, unless a key must stay unique or a projection must follow.
+        alone = self.state["unique"] or self.state.get("exclusions") or self.state["projections"]
+        self._commit(self._projected(self._folded(extend(self.state)), added=path), None if alone else extend)
+
+    def _staged(self, df: DataFrame) -> DataFrame:
+        """``df`` written once and read back, so that everything made of it sees the same rows."""
+        where = f"{self.path}/_staging/{uuid.uuid4().hex}"
+        df.write.parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
 
     def _delete_rows(self, hits: DataFrame) -> tuple[list[str], int]:
         where = f"{self.path}/_deletes/{uuid.uuid4().hex}"
-        hits.select(SEGMENT, INDEX).write.parquet(where)
+        hits.select(SEGMENT, INDEX, ROW_ID).write.parquet(where)
         n = self.spark.read.parquet(where).count()
         return ([where] if n else []), n
 
@@ -358,38 +401,42 @@ class Table:
     def update(self, assignments: dict[str, Column], predicate: Predicate | Column | None = None) -> int:
         """Old rows are deleted and new ones inserted, in one commit."""
         hits = self.scan(predicate, meta=True)
-        new = hits.select(*[assignments[c].alias(c) if c in assignments else F.col(f"`{c}`") for c in self.schema.names])
-        return self._swap(hits, new)
-
-    def _swap(self, hits: DataFrame, new: DataFrame) -> int:
-        dv, n = self._delete_rows(hits)
-        rows = self._prepared(new)
-        if self.state["unique"]:
+        return self._swap(hits.select(*[assignments[c].alias(c) if c in assignments else F.col(f"`{c}`") for c in self.schema.names], SEGMENT, INDEX, ROW_ID))
+
+    def _swap(self, changed: DataFrame) -> int:
+        """Put rows in the place of those that their segment and index name; rows without are new."""
+        changed = self._staged(changed)
+        dv, n = self._delete_rows(changed.where(F.col(SEGMENT).isNotNull()))
+        rows = self._prepared(changed.select(*self.schema.names))
+        if self.state["unique"] or self.state.get("exclusions"):
             left = self.scan(meta=True)
             self._check_unique(rows, left.join(self.spark.read.parquet(*dv), [SEGMENT, INDEX], "left_anti") if dv else left)
-        path, added = self._write_segments(rows, "data", self.state["next_row"])
+        path, added = self._write_segments(rows, "data")
         if n or added:
-            self._commit(self._projected(self._with(deletes=self.state["deletes"] + dv, manifests=[*self.state["manifests"], path], next_row=self.state["next_row"] + added, feed={"inserted": [path], "deleted": dv})))
+            state = self._with(deletes=self.state["deletes"] + dv, manifests=[*self.state["manifests"], {"path": path, "start": self.state["next_row"]}], next_row=self.state["next_row"] + added, feed={"inserted": [path], "deleted": dv})
+            self._commit(self._projected(self._folded(state), added=path))
+        files.remove(self.spark, f"{self.path}/_staging")
         return n
 
     def merge(self, source: DataFrame, on: list[str], update: dict[str, Column] | None = None, insert: bool = True) -> None:
         """Matched rows get ``update`` (columns of the source as ``s.name``), others are inserted.  A row matched twice is an error."""
-        target, s = self.scan(meta=True).alias("t"), source.alias("s")
+        target, s = self.scan(meta=True).alias("t"), self._staged(source).alias("s")
         cond = F.lit(True)
         for c in on:
             cond = cond & (F.col(f"t.{c}") == F.col(f"s.{c}"))
         matched = target.join(s, cond)
         if matched.groupBy(SEGMENT, INDEX).count().where("count > 1").limit(1).count():
             raise ConstraintViolation("a row matches several source rows")
-        changed = matched.select(SEGMENT, INDEX, *[update[c].alias(c) if c in (update or {}) else F.col(f"t.{c}") for c in self.schema.names])
-        fresh = s.join(target, cond, "left_anti").select("s.*") if insert else None
-        new = changed.select(*self.schema.names)
-        if fresh is not None:
+        place = T.StructType([T.StructField(SEGMENT, T.StringType()), T.StructField(INDEX, T.LongType()), T.StructField(ROW_ID, T.LongType())])
+        changed = matched.select(*[update[c].alias(c) if c in (update or {}) else F.col(f"t.{c}") for c in self.schema.names], *place.names)
+        if insert:
+            fresh = s.join(target, cond, "left_anti").select("s.*")
             for f in self.schema:
                 if f.name not in fresh.columns:
                     fresh = fresh.withColumn(f.name, F.lit(None).cast(f.dataType))
-            new = new.unionByName(fresh.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema]))
-        self._swap(changed, new)
+            new = fresh.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema], *[F.lit(None).cast(f.dataType).alias(f.name) for f in place])
+            changed = changed.unionByName(new)
+        self._swap(changed)
 
     def insert_ignoring_conflicts(self, rows: DataFrame, key: list[str]) -> None:
         """Rows whose key is there already, or came earlier in the same rows, are left out."""
@@ -397,7 +444,7 @@ class Table:
         self.insert(first.join(self.scan(columns=key), key, "left_anti").select(*rows.columns))
 
     def truncate(self) -> None:
-        self._commit(self._with(manifests=[], dropped=[], deletes=[], sort=None, projections={k: v | {"manifest": None} for k, v in self.state["projections"].items()}))
+        self._commit(self._with(manifests=[], dropped=[], deletes=[], sort=None, late=[], projections={k: v | {"manifests": []} for k, v in self.state["projections"].items()}))
 
     def change_feed(self) -> DataFrame:
         """Rows the last commit inserted and deleted, with _change."""
@@ -418,10 +465,11 @@ class Table:
     # ---- layout
 
     def _replaced(self, rows: DataFrame, sort: dict | None = None, **changes) -> dict:
-        path, n = self._write_segments(rows, "data", self.state["next_row"])
+        first = self.state["next_row"]
+        path, n = self._write_segments(rows, "data")
         if sort is not None:
-            sort = sort | {"from": self.state["next_row"], "through": self.state["next_row"] + n - 1}
-        return self._projected(self._with(manifests=[path], dropped=[], deletes=[], next_row=self.state["next_row"] + n, sort=sort, feed=None, **changes))
+            sort = sort | {"from": first, "through": first + n - 1}
+        return self._projected(self._with(manifests=[{"path": path, "start": first}], dropped=[], deletes=[], late=[], next_row=first + n, sort=sort, feed=None, **changes))
 
     def vacuum(self, stripe_count: int = 0) -> None:
         """Rewrite live rows into full segments."""
@@ -481,18 +529,20 @@ class Table:
         if not names:
             return 0
         rows = self._rows(names).select(*self.schema.names)
-        path, n = self._write_segments(rows, "data", self.state["next_row"])
+        path, n = self._write_segments(rows, "data")
         with self.transaction():
             self._retire(self.spark.createDataFrame([(x,) for x in names], "segment string"))
-            self.state = self._with(manifests=[*self.state["manifests"], path], next_row=self.state["next_row"] + n)
+            state = self._with(manifests=[*self.state["manifests"], {"path": path, "start": self.state["next_row"]}], next_row=self.state["next_row"] + n)
+            # Rewritten rows have new ids, so projections are written anew in the same commit.
+            self.state = self._projected(self._folded(state))
         return len(names)
 
     def vacuum_files(self) -> int:
         """Remove data files that the current version doesn't name; older versions can't be read after that."""
         used = {r.segment for r in self.manifest().select("segment").collect()}
         for p in self.state["projections"].values():
-            if p["manifest"]:
-                used |= {r.segment for r in self.spark.read.parquet(p["manifest"]).select("segment").collect()}
+            if p["manifests"]:
+                used |= {r.segment for r in self.spark.read.parquet(*p["manifests"]).select("segment").collect()}
         n = 0
         for folder in ("data", "projections"):
             for d in files.names(self.spark, f"{self.path}/{folder}"):
@@ -545,7 +595,7 @@ class Table:
             raise ValueError(f"projection {name} exists")
         if not columns or len(set(columns)) != len(columns) or not set(columns) <= set(self.schema.names) or not set(sort) <= set(columns):
             raise ValueError("a projection needs different, known columns, and sorts by some of them")
-        self._commit(self._projected(self._with(projections=self.state["projections"] | {name: {"columns": columns, "sort": sort, "manifest": None}}), {name}))
+        self._commit(self._projected(self._with(projections=self.state["projections"] | {name: {"columns": columns, "sort": sort, "manifests": []}}), {name}))
 
     def drop_projection(self, name: str) -> None:
         self._commit(self._with(projections={k: v for k, v in self.state["projections"].items() if k != name}))
@@ -553,35 +603,42 @@ class Table:
     def rebuild_projections(self) -> None:
         self._commit(self._projected(self._with()))
 
-    def _projected(self, state: dict, only: set[str] | None = None) -> dict:
-        """``state`` with its projections written from its rows."""
+    def _projected(self, state: dict, only: set[str] | None = None, added: str | None = None) -> dict:
+        """``state`` with its projections written from its rows; with ``added`` only that manifest's rows, as a sorted run of their own."""
         if not state["projections"]:
             return state
         view = Table(self.spark, self.path, state, self.version)
         for name, p in state["projections"].items():
             if only is None or name in only:
                 order = [F.col(f"`{c}`").asc_nulls_last() for c in p["sort"]]
-                rows = view.scan(columns=p["columns"], meta=True).select(*p["columns"], ROW_ID)
-                rows = rows.repartitionByRange(view._parts(), *order).sortWithinPartitions(*order)
-                p["manifest"], _ = view._write_segments(rows, "projections", 1)
+                source, parts = view, None
+                if added and p["manifests"] and len(p["manifests"]) < FOLD:
+                    start = state["next_row"] - self.spark.read.parquet(added).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+                    source = Table(self.spark, self.path, state | {"manifests": [{"path": added, "start": start}], "dropped": []}, self.version)
+                    parts = p["manifests"]
+                rows = source.scan(columns=p["columns"], meta=True).select(*p["columns"], ROW_ID)
+                rows = rows.repartitionByRange(source._parts(), *order).sortWithinPartitions(*order)
+                p["manifests"] = [*(parts or []), view._write_segments(rows, "projections")[0]]
         return state
 
     def read_projection(self, name: str, predicate: Predicate | None = None) -> DataFrame:
         """Rows of the projection that are live in the table, with their row ids."""
         p = self.state["projections"][name]
-        m = self.spark.read.parquet(p["manifest"])
+        kinds = [f for f in self.schema if f.name in p["columns"]]
+        schema = T.StructType([*sorted(kinds, key=lambda f: p["columns"].index(f.name)), T.StructField(ROW_ID, T.LongType())])
+        if not p["manifests"]:
+            self.last_report = ScanReport(0, 0, name)
+            return self.spark.createDataFrame([], schema)
+        m = self.spark.read.parquet(*p["manifests"])
         known = {c[:-4] for c in m.columns if c.endswith(".min")}
         segments = [r.segment for r in (m.where(predicate.possible(known)) if predicate is not None else m).select("segment").collect()]
         self.last_report = ScanReport(m.count(), len(segments), name)
-        kinds = [f for f in self.schema if f.name in p["columns"]]
-        schema = T.StructType([*sorted(kinds, key=lambda f: p["columns"].index(f.name)), T.StructField(ROW_ID, T.LongType())])
         out = self.spark.read.schema(schema).parquet(*segments) if segments else self.spark.createDataFrame([], schema)
         if predicate is not None:
             out = out.where(predicate.column())
         gone = self._deletes()
         if gone is not None:
-            dead = gone.join(self.spark.read.parquet(*self.state["manifests"]).select(F.col("segment").alias(SEGMENT), "base"), SEGMENT).select((F.col("base") + F.col(INDEX)).alias(ROW_ID))
-            out = out.join(dead, ROW_ID, "left_anti").select(*schema.names)
+            out = out.join(gone.select(ROW_ID), ROW_ID, "left_anti").select(*schema.names)
         return out
 
     def reconstruct_via_projection(self, name: str, predicate: Predicate | None = None) -> DataFrame:
@@ -593,6 +650,6 @@ class Table:
         """Columns of matching rows, from the projection that covers them and sorts by what is filtered, if there is one."""
         names = set(columns) | ({sort_hint} if sort_hint else set())
         for name, p in self.state["projections"].items():
-            if p["manifest"] and names <= set(p["columns"]) and sort_hint == p["sort"][0]:
+            if p["manifests"] and names <= set(p["columns"]) and sort_hint == p["sort"][0]:
                 return self.read_projection(name, predicate).select(*columns)
         return self.scan(predicate).select(*columns)

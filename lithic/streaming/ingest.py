@@ -13,12 +13,10 @@ def append_stream(stream: DataFrame, table: Table, checkpoint: str, once: bool =
 
     def write(batch: DataFrame, number: int) -> None:
         now = Table.open(batch.sparkSession, table.path)
-        done = now.state.get("stream", {})
-        if done.get(checkpoint, -1) >= number:
-            return
-        with now.transaction():
-            now.insert(batch)
-            now.state = now.state | {"stream": done | {checkpoint: number}}
+        done = lambda state: state.get("stream", {})
+        if done(now.state).get(checkpoint, -1) < number:
+            # Progress is part of the commit, and follows commits of other writers like the rows do.
+            now.insert(batch, lambda state: {"stream": done(state) | {checkpoint: number}})
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

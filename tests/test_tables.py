@@ -148,3 +148,117 @@ def test_sorted_range_prunes(spark, sf):
     t = make(spark, sf, "orders", row_group_rows=1000)
     t.vacuum_sorted("o_totalprice")
     assert t.manifest().count() >= 1
+
+
+def test_raced_appends_have_row_ids_of_their_own(spark, tmp_path):
+    t = Table.create_as(spark, f"file://{tmp_path}/t", spark.range(10))
+    one, two = Table.open(spark, t.path), Table.open(spark, t.path)
+    one.insert(spark.range(10, 20))
+    two.insert(spark.range(20, 30))
+    t = Table.open(spark, t.path)
+    assert t.scan(meta=True).select("__row_id").distinct().count() == 30
+    t.add_projection("p", ["id"])
+    t.delete(F.col("id") % 3 == 0)
+    t.insert(spark.range(30, 36))
+    assert sorted(r.id for r in t.read_projection("p").collect()) == sorted(r.id for r in t.scan().collect()) == [n for n in range(36) if n % 3 or n >= 30]
+    assert t.reconstruct_via_projection("p").count() == t.scan().count()
+
+
+def test_projections_follow_every_rewrite(spark, tmp_path):
+    t = Table.create_as(spark, f"file://{tmp_path}/t", spark.range(1000).select("id", (F.col("id") % 7).alias("k")), row_group_rows=1000)
+    t.add_projection("p", ["k"], ["k"])
+
+    def same():
+        want = sorted((r.id, r.k) for r in t.scan().collect())
+        assert sorted((r.id, r.k) for r in t.reconstruct_via_projection("p").collect()) == want and want
+
+    t.delete(F.col("id") % 3 == 0)
+    same()
+    t.compact_rewrite(0.1)
+    same()
+    t.update({"k": F.col("k") + 100}, F.col("id") < 50)
+    same()
+    t.cluster("id", "k")
+    t.insert(spark.range(2000, 2010).select("id", F.lit(1).cast("long").alias("k")))
+    same()
+    t.delete(F.col("id") >= 2000)
+    t.compact()
+    same()
+
+
+def test_many_commits_are_folded(spark, tmp_path, monkeypatch):
+    import lithic.operators.table as module
+
+    monkeypatch.setattr(module, "FOLD", 3)
+    t = Table.create(spark, f"file://{tmp_path}/t", spark.range(1).schema)
+    for n in range(6):
+        t.insert(spark.range(n * 10, n * 10 + 10))
+        if n % 2:
+            t.delete(F.col("id") == n * 10)
+            t.delete(F.col("id") == n * 10 + 1)
+    t = Table.open(spark, t.path)
+    assert len(t.state["manifests"]) <= 4
+    assert sorted(r.id for r in t.scan().collect()) == [n for n in range(60) if n not in (10, 11, 30, 31, 50, 51)]
+    assert t.scan(meta=True).select("__row_id").distinct().count() == 54
+    assert t.aggregate(n=("count", "*"), top=("max", "id")).first() == (54, 59)
+
+
+def test_update_evaluates_its_rows_once(spark, tmp_path):
+    t = Table.create_as(spark, f"file://{tmp_path}/t", spark.range(500).select("id", F.lit(0.0).alias("x")))
+    n = t.update({"x": F.rand() + 1}, F.rand() < 0.5)
+    assert t.scan().count() == 500 == t.scan().select("id").distinct().count()
+    assert t.scan().where("x > 0").count() == n
+    source = spark.range(1000).where(F.rand() < 0.5).select("id", F.lit(5.0).alias("x"))
+    t.merge(source, ["id"], {"x": F.col("s.x")})
+    assert t.scan().count() == t.scan().select("id").distinct().count() and t.scan().where("id < 500").count() == 500
+
+
+def test_statistics_answer_again_after_add_column(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    t = Table.create_as(spark, f"file://{tmp_path}/t", spark.range(100))
+    t.add_column("note", T.StringType())
+    t.add_column("n", T.LongType(), 7)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "/data/" not in plan(t.aggregate(n=("count", "*"), top=("max", "id")))
+    assert t.aggregate(s=("sum", "n")).first().s == 700
+    t.vacuum()
+    df = t.aggregate(s=("sum", "n"), k=("count", "note"))
+    assert "/data/" not in plan(df) and df.first() == (700, 0)
+    t.insert(spark.range(1))
+    assert t.scan().where("n = 7").count() == 101
+
+
+def test_options_reach_the_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(20_000).select(F.col("id"), F.hash("id").alias("h"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    sizes = {}
+    for level in (1, 19):
+        t = Table.create_as(spark, f"file://{tmp_path}/t{level}", rows.coalesce(1), compression_level=level, vector_rows=500, sort_by=["h"], bloom=["id"], row_group_rows=20_000)
+        sizes[level] = t.manifest().agg(F.sum("bytes")).first()[0]
+        segment = t.manifest().first().segment.removeprefix("file://")
+        got = pq.read_table(segment).column("h").to_pylist()
+        assert got == sorted(got)
+        assert pq.ParquetFile(segment).metadata.row_group(0).column(0).has_offset_index
+    assert sizes[19] != sizes[1]
+
+
+def test_stream_survives_commits_of_others(spark, tmp_path, monkeypatch):
+    from lithic.streaming.ingest import append_stream
+
+    spark.range(5).write.parquet(f"file://{tmp_path}/in")
+    t = Table.create(spark, f"file://{tmp_path}/t", spark.range(1).schema)
+    plain, first = Table._write_segments, []
+
+    def raced(self, rows, folder, statistics=True):
+        out = plain(self, rows, folder, statistics)
+        if not first:
+            first.append(1)
+            Table.open(spark, t.path).insert(spark.range(100, 103))
+        return out
+
+    monkeypatch.setattr(Table, "_write_segments", raced)
+    append_stream(spark.readStream.schema("id long").parquet(f"file://{tmp_path}/in"), t, f"file://{tmp_path}/c").awaitTermination()
+    t = Table.open(spark, t.path)
+    assert sorted(r.id for r in t.scan().collect()) == [0, 1, 2, 3, 4, 100, 101, 102] and list(t.state["stream"].values()) == [0]
