@@ -50,8 +50,16 @@ def spark_type(kind: Any) -> T.DataType:
     return T.MapType(spark_type(kind["key"]), spark_type(kind["value"]))
 
 
-def _bytes(spark: SparkSession, path: str) -> bytes:
-    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+def _bare(path: str) -> str:
+    return re.sub("^[a-z0-9]+:/+", "/", path)
+
+
+def _bytes(spark: SparkSession, paths: list[str]) -> list[bytes]:
+    """The files' contents, in one job."""
+    if not paths:
+        return []
+    got = {_bare(r.path): bytes(r.content) for r in spark.read.format("binaryFile").load(paths).select("path", "content").collect()}
+    return [got[_bare(p)] for p in paths]
 
 
 def bucket(value: Any, kind: str, n: int) -> int:
@@ -95,8 +103,22 @@ def transform(name: str, kind: str, value: Any) -> Any:
 
 def bound(raw: bytes, kind: str) -> Any:
     """A column bound as a value; None for types whose bounds aren't used."""
-    form = {"int": "<i", "long": "<q", "boolean": "<?"}.get(kind)
-    return struct.unpack(form, raw)[0] if form and len(raw) == struct.calcsize(form) else None
+    if kind == "string":
+        return raw.decode(errors="replace") if raw.isascii() else None
+    form = {"int": "<i", "long": "<q", "boolean": "<?", "float": "<f", "double": "<d", "date": "<i"}.get(kind)
+    if not form or len(raw) != struct.calcsize(form):
+        return None
+    value = struct.unpack(form, raw)[0]
+    return EPOCH + datetime.timedelta(days=value) if kind == "date" else value
+
+
+def comparable(value: Any, kind: str) -> bool:
+    """Is the value of the kind that bounds of the column are compared with?"""
+    if kind == "date":
+        return isinstance(value, datetime.date) and not isinstance(value, datetime.datetime)
+    if kind == "string":
+        return isinstance(value, str) and value.isascii()
+    return isinstance(value, (int, float)) and value == value
 
 
 def _terms(p: Predicate | None) -> list[Compare]:
@@ -127,12 +149,13 @@ class SnapshotTable:
         return self.spark.createDataFrame([row] if s else [], "snapshot_id long, sequence_number long, timestamp_ms long, operation string, manifest_list string")
 
     def manifests(self) -> list[dict]:
-        return avro.read_records(_bytes(self.spark, self.snapshot["manifest-list"]))[0] if self.snapshot else []
+        return avro.read_records(_bytes(self.spark, [self.snapshot["manifest-list"]])[0])[0] if self.snapshot else []
 
     def live_files(self) -> list[DataFile]:
         out = []
-        for m in self.manifests():
-            for e in avro.read_records(_bytes(self.spark, m["manifest_path"]))[0]:
+        listed = self.manifests()
+        for m, raw in zip(listed, _bytes(self.spark, [m["manifest_path"] for m in listed]), strict=True):
+            for e in avro.read_records(raw)[0]:
                 if e["status"] == 2:
                     continue
                 d, pairs = e["data_file"], lambda x: {p["key"]: p["value"] for p in x or []}
@@ -143,14 +166,20 @@ class SnapshotTable:
         return out
 
     def data_files(self) -> DataFrame:
-        return self.spark.createDataFrame([(f.path, f.records, f.content) for f in self.live_files()], "file_path string, record_count long, content int")
+        """The data files of the snapshot; an error if it has deletes, which a plain read of the files would ignore."""
+        found = self.live_files()
+        if any(f.content for f in found):
+            raise ValueError("the snapshot has delete files; its data files alone aren't its rows")
+        return self.spark.createDataFrame([(f.path, f.records, f.content) for f in found], "file_path string, record_count long, content int")
 
     def _possible(self, f: DataFile, term: Compare) -> bool:
         """Can a row of the file fit the term?  Only what is known excludes."""
         col = self.by_name.get(term.name)
         if col is None or not isinstance(col["type"], str):
             return True
-        low, high = (bound(b[col["id"]], col["type"]) if col["id"] in b else None for b in (f.lower, f.upper))
+        low, high = (bound(b[col["id"]], col["type"]) if col["id"] in b and comparable(term.value, col["type"]) else None for b in (f.lower, f.upper))
+        if col["type"] in ("float", "double") and term.op in (">", ">="):
+            high = None  # NaN is above everything, and no bound tells of it
         ends = {"<": lambda: low is None or low < term.value, "<=": lambda: low is None or low <= term.value, ">": lambda: high is None or high > term.value, ">=": lambda: high is None or high >= term.value, "=": lambda: (low is None or low <= term.value) and (high is None or high >= term.value)}
         if not ends[term.op]():
             return False
@@ -190,16 +219,31 @@ class SnapshotTable:
                 gone = self.spark.read.schema("file_path string, pos long").parquet(*positions).select(F.regexp_replace("file_path", "^[a-z0-9]+:/+", "/").alias("__file"), F.col("pos").alias("__pos"))
                 rows = rows.join(gone, ["__file", "__pos"], "left_anti")
             if equality:
-                order = self.spark.createDataFrame([(re.sub("^[a-z0-9]+:/+", "/", f.path), f.sequence) for f in kept], "__file string, __seq long")
-                rows = rows.join(order, "__file")
-                for f in equality:
-                    names = [c["name"] for c in self.fields if c["id"] in f.equality_ids]
-                    kinds = T.StructType([x for x in self.schema if x.name in names])
-                    dead = self.spark.read.schema(kinds).parquet(f.path).select(*[F.col(c).alias(f"__d_{c}") for c in names])
-                    same = F.col("__seq") < f.sequence
-                    for c in names:
-                        same = same & F.col(c).eqNullSafe(F.col(f"__d_{c}"))
-                    rows = rows.join(dead, same, "left_anti")
+                rows = self._without(rows, kept, equality)
         if predicate is not None:
             rows = rows.where(predicate.column())
         return rows.select(*(columns or [f["name"] for f in self.fields]))
+
+    def _scope(self, f: DataFile) -> str | None:
+        """What a file's equality deletes reach: its own partition, or everything where its spec has no fields."""
+        return json.dumps([f.spec, sorted(f.partition.items())], default=str) if self.specs.get(f.spec) else None
+
+    def _without(self, rows: DataFrame, kept: list[DataFile], equality: list[DataFile]) -> DataFrame:
+        """``rows`` less those that an equality delete of a later sequence, in its reach, names; one join for each set of columns."""
+        order = self.spark.createDataFrame([(_bare(f.path), f.sequence, self._scope(f)) for f in kept], "__file string, __seq long, __scope string")
+        rows = rows.join(order, "__file")
+        by_ids: dict[tuple[int, ...], list[DataFile]] = {}
+        for f in equality:
+            by_ids.setdefault(tuple(sorted(f.equality_ids)), []).append(f)
+        for ids, group in sorted(by_ids.items()):
+            kinds = T.StructType([k for k, c in zip(self.schema, self.fields, strict=True) if c["id"] in ids])
+            reach = self.spark.createDataFrame([(_bare(f.path), f.sequence, self._scope(f)) for f in group], "__d_file string, __d_seq long, __d_scope string")
+            dead = self.spark.read.schema(kinds).parquet(*[f.path for f in group])
+            dead = dead.select(*[F.col(c).alias(f"__d_{c}") for c in kinds.names], F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/+", "/").alias("__d_file")).join(reach, "__d_file")
+            # The latest of equal deletes is enough.
+            dead = dead.groupBy(*[f"__d_{c}" for c in kinds.names], "__d_scope").agg(F.max("__d_seq").alias("__d_seq"))
+            same = (F.col("__seq") < F.col("__d_seq")) & (F.col("__d_scope").isNull() | (F.col("__d_scope") == F.col("__scope")))
+            for c in kinds.names:
+                same = same & F.col(c).eqNullSafe(F.col(f"__d_{c}"))
+            rows = rows.join(dead, same, "left_anti")
+        return rows
