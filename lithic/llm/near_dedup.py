@@ -35,7 +35,7 @@ BANDS = REGISTERS // BAND
 MANTISSA = 10
 #: Estimates this far below the threshold are still verified: 4.5 standard deviations of the estimate.
 MARGIN = 4.5 * (0.75 * 0.25 / REGISTERS) ** 0.5
-CHUNK = 400
+CHUNK = 200
 #: Bytes of shingle sets that a chunk holds, unless a single set is larger.
 CHUNK_BYTES = 1 << 22
 #: Work that a task gets: pairs of nodes, rows, bytes of sets.
