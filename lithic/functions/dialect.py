@@ -35,8 +35,24 @@ def int_div(a: str, b: str) -> Column:
 
 
 def percentile_disc_any(rows: DataFrame, by: list[str], value: str, fraction: float, name: str) -> DataFrame:
-    """The first value, in order, at or above a fraction of its group; for any type that orders."""
+    """The first value, in order, at or above a fraction of its group; for any type that orders.
+
+    Rows are counted by value first, so a window sees a row for each different
+    value of a group, not each row.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(w.orderBy(value))).withColumn("__n", F.count(F.lit(1)).over(w))
+    ranked = counts.withColumn("__upto", F.sum("__c").over(w.orderBy(value))).withColumn("__n", F.sum("__c").over(w))
     at = F.greatest(F.ceil(F.lit(fraction) * F.col("__n")), F.lit(1))
-    return ranked.where(F.col("__r") == at).select(*by, F.col(value).alias(name))
+    return ranked.where((F.col("__upto") >= at) & (F.col("__upto") - F.col("__c") < at)).select(*by, F.col(value).alias(name))
+
+
+class TooManyGroups(Exception):
+    pass
+
+
+def group_cap(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """``rows``, unless ``by`` makes more than ``most`` groups, which is an error; 0 sets no limit."""
+    if most and rows.select(*by).distinct().limit(most + 1).count() > most:
+        raise TooManyGroups(f"more than {most} groups of {by}")
+    return rows

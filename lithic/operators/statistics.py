@@ -17,14 +17,37 @@ def summary(rows: DataFrame, columns: list[str]) -> DataFrame:
     n_distinct is the number of different values, or minus their share of all
     rows where that is over a tenth.
     """
-    out = None
+    # One pass for the total and the values that aren't null of all columns; then one count by value each.
+    seen = rows.agg(F.count(F.lit(1)), *[F.count(F.col(f"`{c}`")) for c in columns]).first()
+    total, out = seen[0], None
+    for c, k in zip(columns, seen[1:], strict=True):
+        one = value_counts(rows, c).agg(F.count(F.lit(1)).alias("d")).select(
+            F.lit(c).alias("attname"),
+            F.lit((total - k) / total if total else 0.0).alias("null_frac"),
+            F.when(F.col("d") > 0.1 * total, -F.col("d") / F.lit(float(total))).otherwise(F.col("d").cast("double")).alias("n_distinct"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def sampled_summary(rows: DataFrame, columns: list[str], sample: int = 30_000, seed: int = 1) -> DataFrame:
+    """attname, null_frac, n_distinct estimated from about ``sample`` rows.
+
+    The number of different values is Haas and Stokes' estimate, n d / (n - f1
+    + f1 n / N) for d values, f1 of them seen once, among n of N rows.
+    """
+    total = rows.count()
+    some = rows.select(*columns) if total <= sample else rows.select(*columns).sample(sample / total, seed)
+    n, out = some.count(), None
     for c in columns:
-        counts = value_counts(rows, c).agg(F.count(F.lit(1)).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("k"))
-        total = rows.agg(F.count(F.lit(1)).alias("total"))
-        one = counts.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").select(
+        one = value_counts(some, c).agg(F.count(F.lit(1)).alias("d"), F.count_if(F.col("n") == 1).alias("f1"), F.coalesce(F.sum("n"), F.lit(0)).alias("k"))
+        k = F.greatest(F.col("k"), F.lit(1))
+        whole = F.lit(float(total)) * F.col("k") / F.lit(float(max(n, 1)))
+        d = F.least(k * F.col("d") / (k - F.col("f1") + F.col("f1") * k / F.greatest(whole, F.lit(1.0))), F.greatest(whole, F.lit(0.0)))
+        one = one.withColumn("all", F.coalesce(d, F.lit(0.0))).select(
             F.lit(c).alias("attname"),
-            F.when(F.col("total") > 0, (F.col("total") - F.col("k")) / F.col("total")).otherwise(0.0).alias("null_frac"),
-            F.when(F.col("d") > 0.1 * F.col("total"), -F.col("d") / F.col("total")).otherwise(F.col("d").cast("double")).alias("n_distinct"),
+            (F.lit(1.0) - F.col("k") / F.lit(float(max(n, 1)))).alias("null_frac"),
+            F.when(F.col("all") > 0.1 * total, -F.col("all") / F.lit(float(max(total, 1)))).otherwise(F.col("all")).alias("n_distinct"),
         )
         out = one if out is None else out.unionByName(one)
     return out

@@ -68,11 +68,11 @@ class Table:
     # ---- life
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, schema: T.StructType, *, not_null: Iterable[str] = (), unique: Iterable[Iterable[str]] = (), checks: Iterable[str] = (), stored: dict[str, str] | None = None, virtual: dict[str, str] | None = None, **options) -> Table:
-        """A new, empty table.  ``stored`` and ``virtual`` are generated columns: name to SQL expression; stored ones must be in the schema."""
+    def create(cls, spark: SparkSession, path: str, schema: T.StructType, *, not_null: Iterable[str] = (), unique: Iterable[Iterable[str]] = (), checks: Iterable[str] = (), without_overlaps: Iterable[tuple[Iterable[str], str, str]] = (), stored: dict[str, str] | None = None, virtual: dict[str, str] | None = None, **options) -> Table:
+        """A new, empty table.  ``without_overlaps`` has (key columns, begin, end): rows of one key may not overlap in [begin, end).  ``stored`` and ``virtual`` are generated columns: name to SQL expression; stored ones must be in the schema."""
         state = {
             "format": FORMAT, "id": uuid.uuid4().hex, "schema": json.loads(schema.json()), "options": dict(OPTIONS), "manifests": [], "dropped": [], "deletes": [], "next_row": 1,
-            "not_null": list(not_null), "unique": [list(u) for u in unique], "checks": list(checks), "stored": stored or {}, "virtual": virtual or {},
+            "not_null": list(not_null), "unique": [list(u) for u in unique], "checks": list(checks), "exclusions": [[list(k), a, b] for k, a, b in without_overlaps], "stored": stored or {}, "virtual": virtual or {},
             "sort": None, "projections": {}, "defaults": {}, "feed": None,
         }
         table = cls(spark, path, state, -1)
@@ -98,6 +98,20 @@ class Table:
             raise ValueError(f"format {state['format']} is unknown")
         return cls(spark, path, state, at)
 
+    @classmethod
+    def convert(cls, spark: SparkSession, source: str, path: str, kind: str = "parquet", **options) -> Table:
+        """A managed table of the rows of plain files; ``unmanage`` is the way back."""
+        return cls.create_as(spark, path, spark.read.format(kind).load(source), **options)
+
+    def unmanage(self, path: str, kind: str = "parquet") -> None:
+        """Write the live rows as plain files; the table stays as it is."""
+        self.scan(columns=self.schema.names).write.mode("errorifexists").format(kind).save(path)
+
+    @property
+    def storage_id(self) -> str:
+        """What names the table for as long as it lives, whatever its path."""
+        return self.state["id"]
+
     def drop(self) -> None:
         files.remove(self.spark, self.path)
 
@@ -354,6 +368,7 @@ class Table:
         return rows
 
     def _check_unique(self, rows: DataFrame, against: DataFrame) -> None:
+        self._check_overlaps(rows, against)
         for key in self.state["unique"]:
             whole = F.lit(True)
             for c in key:
@@ -362,6 +377,30 @@ class Table:
             if new.groupBy(*key).count().where("count > 1").limit(1).count() or new.join(against, key, "left_semi").limit(1).count():
                 raise ConstraintViolation(f"key {key} is there already")
 
+    def _check_overlaps(self, rows: DataFrame, against: DataFrame) -> None:
+        """In order of its begin, no range of a key may start before all earlier ones end: one window, no join of ranges."""
+        for key, begin, end in self.state.get("exclusions", []):
+            names = [*key, begin, end]
+            both = rows.select(*names).unionByName(against.join(rows.select(*key).distinct(), key, "left_semi").select(*names)).where(F.col(begin) < F.col(end))
+            before = Window.partitionBy(*key).orderBy(begin, end).rowsBetween(Window.unboundedPreceding, -1)
+            if both.withColumn("__upto", F.max(end).over(before)).where(F.col("__upto") > F.col(begin)).limit(1).count():
+                raise ConstraintViolation(f"ranges of {key} overlap")
+            if rows.where(F.col(begin).isNull() | F.col(end).isNull() | (F.col(begin) >= F.col(end))).limit(1).count():
+                raise ConstraintViolation(f"{begin} must be before {end}")
+
+    def change_portion(self, begin: str, end: str, low, high, assignments: dict[str, Column] | None = None, predicate: Predicate | Column | None = None) -> int:
+        """Change only [low, high) of the ranges [begin, end) that overlap it, or delete it without ``assignments``; what is left of a range on either side stays as a row of its own."""
+        hits = self.scan(predicate, meta=True).where((F.col(begin) < F.lit(high)) & (F.col(end) > F.lit(low)))
+        names, place = self.schema.names, [SEGMENT, INDEX, ROW_ID]
+        kinds = {f.name: f.dataType for f in self.schema}
+        inner = {begin: F.greatest(F.col(begin), F.lit(low).cast(kinds[begin])), end: F.least(F.col(end), F.lit(high).cast(kinds[end]))} | (assignments or {})
+        nowhere = [F.lit(None).cast(k).alias(c) for c, k in zip(place, ("string", "long", "long"), strict=True)]
+        changed = hits.select(*[inner[c].alias(c) if c in inner else F.col(f"`{c}`") for c in names], *place, F.lit(assignments is not None).alias("__keep"))
+        for side, cut, value in ((F.col(begin) < F.lit(low), end, low), (F.col(end) > F.lit(high), begin, high)):
+            left = hits.where(side).select(*[F.lit(value).cast(kinds[c]).alias(c) if c == cut else F.col(f"`{c}`") for c in names], *nowhere, F.lit(True).alias("__keep"))
+            changed = changed.unionByName(left)
+        return self._swap(changed)
+
     def insert(self, rows: DataFrame, note: Callable[[dict], dict] | None = None) -> None:
         """Append rows, sorted within segments where ``sort_by`` is set.  ``note`` gives what else the new state holds, from the state it follows."""
         rows = self._prepared(rows)
@@ -407,7 +446,7 @@ class Table:
         """Put rows in the place of those that their segment and index name; rows without are new."""
         changed = self._staged(changed)
         dv, n = self._delete_rows(changed.where(F.col(SEGMENT).isNotNull()))
-        rows = self._prepared(changed.select(*self.schema.names))
+        rows = self._prepared((changed.where("__keep") if "__keep" in changed.columns else changed).select(*self.schema.names))
         if self.state["unique"] or self.state.get("exclusions"):
             left = self.scan(meta=True)
             self._check_unique(rows, left.join(self.spark.read.parquet(*dv), [SEGMENT, INDEX], "left_anti") if dv else left)
@@ -653,3 +692,11 @@ class Table:
             if p["manifests"] and names <= set(p["columns"]) and sort_hint == p["sort"][0]:
                 return self.read_projection(name, predicate).select(*columns)
         return self.scan(predicate).select(*columns)
+
+
+def vacuum_full(spark: SparkSession, folder: str) -> int:
+    """Vacuum every table directly below a folder; returns how many there are."""
+    tables = [n for n in files.names(spark, folder) if files.exists(spark, f"{folder}/{n}/_log")]
+    for n in tables:
+        Table.open(spark, f"{folder}/{n}").vacuum()
+    return len(tables)

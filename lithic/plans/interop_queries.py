@@ -87,7 +87,7 @@ def import_arrow(spark, d):
 
 def import_parquet(spark, d):
     t = Table.create(spark, workspace(spark, "imp"), load(spark, d, "part").schema)
-    t.insert(load(spark, d, "part"))
+    interop.import_parquet(t, f"{d}/part.parquet")
     return t.scan()
 
 
@@ -121,6 +121,11 @@ def percentile_disc(spark, d):
     return dialect.percentile_disc_any(load(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", 0.4, "status")
 
 
+def groupby_cap(spark, d):
+    rows = dialect.group_cap(load(spark, d, "orders"), ["o_orderpriority"], 100)
+    return rows.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
 def fn_date_trunc_long(spark, d):
     o = load(spark, d, "orders")
     return o.select("o_orderkey", *[dialect.date_trunc(u, F.col("o_orderdate")).alias(u) for u in ("decade", "century", "millennium")])
@@ -136,7 +141,7 @@ def approx_distinct(spark, d):
     return got.select((F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("close"))
 
 
-NAMES = [read_parquet, read_parquet_field_ids, parquet_schema, fdw_parquet, hive_partitions, hive_partition_prune, parquet_dir_glob, export_parquet, parallel_export_parquet, export_arrow, import_arrow, import_parquet, parallel_copy, copy_from, analyze_exact, analyze_mcv, analyze_histogram, percentile_disc, fn_date_trunc_long, agg_sum_exact, approx_distinct]
+NAMES = [read_parquet, read_parquet_field_ids, parquet_schema, fdw_parquet, hive_partitions, hive_partition_prune, parquet_dir_glob, export_parquet, parallel_export_parquet, export_arrow, import_arrow, import_parquet, parallel_copy, copy_from, analyze_exact, analyze_mcv, analyze_histogram, percentile_disc, groupby_cap, fn_date_trunc_long, agg_sum_exact, approx_distinct]
 
 _STATS = " UNION ALL ".join(
     f"SELECT '{c}' AS attname, ROUND(CAST(1 - COUNT({c}) / COUNT(*) AS DOUBLE), 6) AS null_frac, ROUND(CASE WHEN COUNT(DISTINCT {c}) > 0.1 * COUNT(*) THEN -COUNT(DISTINCT {c}) / COUNT(*) ELSE COUNT(DISTINCT {c}) END, 6) AS n_distinct FROM events"
@@ -144,6 +149,7 @@ _STATS = " UNION ALL ".join(
 )
 _YEAR = "MAKE_TIMESTAMP(CAST({} AS BIGINT), 1, 1, 0, 0, 0.0)"
 ORACLE = {
+    "groupby_cap": "SELECT o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_orderpriority",
     "read_parquet": "SELECT p_partkey AS a, p_name AS b, p_brand AS c, p_type AS d, CAST(p_size AS BIGINT) AS e, p_retailprice AS f FROM part",
     "read_parquet_field_ids": "SELECT n_regionkey AS region, n_name AS name FROM nation",
     "parquet_schema": "SELECT * FROM (VALUES ('o_orderkey', 'int8'), ('o_custkey', 'int8'), ('o_orderstatus', 'text'), ('o_totalprice', 'float8'), ('o_orderdate', 'timestamp'), ('o_orderpriority', 'text')) t(name, type)",

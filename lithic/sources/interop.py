@@ -159,6 +159,22 @@ def import_arrow(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return raw.mapInArrow(unpack, schema)
 
 
+def import_parquet(table, path: str) -> int:
+    """Insert the rows of Parquet files into a managed table, by column name, under its constraints; returns how many."""
+    rows = table.spark.read.parquet(path)
+    if unknown := [c for c in rows.columns if c not in table.schema.names]:
+        raise ValueError(f"the table has no columns {unknown}")
+    table.insert(rows)
+    return rows.count()
+
+
+def import_arrow_into(table, path: str) -> int:
+    """Insert the rows of Arrow streams into a managed table, under its constraints; returns how many."""
+    rows = import_arrow(table.spark, path, table.schema)
+    table.insert(rows)
+    return rows.count()
+
+
 def read_copy_text(spark: SparkSession, path: str, schema: T.StructType, delimiter: str = "\t", null: str = "\\N") -> DataFrame:
     """COPY's text format, split by Spark at line ends: fields by a delimiter, backslash escapes, a marker for null."""
     # A line holds no line break, so marks that begin with one can stand for escaped characters.

@@ -262,3 +262,62 @@ def test_stream_survives_commits_of_others(spark, tmp_path, monkeypatch):
     append_stream(spark.readStream.schema("id long").parquet(f"file://{tmp_path}/in"), t, f"file://{tmp_path}/c").awaitTermination()
     t = Table.open(spark, t.path)
     assert sorted(r.id for r in t.scan().collect()) == [0, 1, 2, 3, 4, 100, 101, 102] and list(t.state["stream"].values()) == [0]
+
+
+def test_ranges_without_overlaps_and_portions(spark, tmp_path):
+    kinds = "room string, since long, till long, price long"
+    rows = lambda *r: spark.createDataFrame(list(r), kinds)
+    t = Table.create(spark, f"file://{tmp_path}/t", rows(("a", 0, 1, 1)).schema, without_overlaps=[(["room"], "since", "till")])
+    t.insert(rows(("a", 0, 10, 1), ("a", 10, 20, 2), ("b", 5, 15, 3)))
+    for bad in (("a", 9, 11, 0), ("b", 0, 6, 0), ("a", 3, 4, 0), ("c", 5, 5, 0), ("c", None, 5, 0)):
+        with pytest.raises(ConstraintViolation):
+            t.insert(rows(bad))
+    with pytest.raises(ConstraintViolation):
+        t.insert(rows(("d", 0, 5, 0), ("d", 4, 6, 0)))
+    assert t.change_portion("since", "till", 8, 12, {"price": F.col("price") + 100}, F.col("room") == "a") == 2
+    assert sorted(tuple(r) for r in t.scan().collect()) == [("a", 0, 8, 1), ("a", 8, 10, 101), ("a", 10, 12, 102), ("a", 12, 20, 2), ("b", 5, 15, 3)]
+    assert t.change_portion("since", "till", 7, 9, None) == 3
+    assert sorted(tuple(r) for r in t.scan().collect()) == [("a", 0, 7, 1), ("a", 9, 10, 101), ("a", 10, 12, 102), ("a", 12, 20, 2), ("b", 5, 7, 3), ("b", 9, 15, 3)]
+
+
+def test_conversion_and_vacuum_of_a_folder(spark, tmp_path):
+    from lithic.operators.table import vacuum_full
+
+    spark.range(30).write.parquet(f"file://{tmp_path}/plain")
+    t = Table.convert(spark, f"file://{tmp_path}/plain", f"file://{tmp_path}/all/one")
+    t.delete(F.col("id") < 10)
+    t.unmanage(f"file://{tmp_path}/back")
+    assert spark.read.parquet(f"file://{tmp_path}/back").count() == 20
+    Table.create_as(spark, f"file://{tmp_path}/all/two", spark.range(3)).insert(spark.range(3))
+    assert vacuum_full(spark, f"file://{tmp_path}/all") == 2
+    again = Table.open(spark, t.path)
+    assert again.scan().count() == 20 and not again.state["deletes"] and again.storage_id == t.storage_id
+    t.drop()
+    with pytest.raises(FileNotFoundError):
+        Table.open(spark, t.path)
+
+
+def test_imports_keep_constraints(spark, tmp_path):
+    from lithic.sources import interop
+
+    t = Table.create(spark, f"file://{tmp_path}/t", spark.range(1).schema, unique=[["id"]])
+    spark.range(5).write.parquet(f"file://{tmp_path}/p")
+    assert interop.import_parquet(t, f"file://{tmp_path}/p") == 5
+    interop.export_arrow(spark.range(5, 8), f"file://{tmp_path}/a", 2)
+    assert interop.import_arrow_into(t, f"file://{tmp_path}/a") == 3
+    with pytest.raises(ConstraintViolation):
+        interop.import_parquet(t, f"file://{tmp_path}/p")
+    assert t.scan().count() == 8
+
+
+def test_group_cap_and_sampled_statistics(spark):
+    from lithic.functions.dialect import TooManyGroups, group_cap
+    from lithic.operators.statistics import sampled_summary
+
+    rows = spark.range(20_000).select((F.col("id") % 50).alias("few"), "id", F.when(F.col("id") % 4 == 0, F.col("id")).alias("some"))
+    assert group_cap(rows, ["few"], 50).count() == 20_000 and group_cap(rows, ["id"], 0).count() == 20_000
+    with pytest.raises(TooManyGroups):
+        group_cap(rows, ["few"], 49)
+    got = {r.attname: r for r in sampled_summary(rows, ["few", "id", "some"], sample=5000).collect()}
+    assert got["few"].n_distinct == 50 and got["few"].null_frac == 0
+    assert got["id"].n_distinct < -0.9 and abs(got["some"].null_frac - 0.75) < 0.03
