@@ -268,8 +268,7 @@ class Table:
         self.last_report = ScanReport(total, len(found))
         out = self._rows([r.segment for r in found])
         if meta:
-            # A join with the manifest by segment, which is small against the rows.
-            out = out.join(F.broadcast(kept.select(F.col("segment").alias(SEGMENT), "base")) if len(found) < 100_000 else kept.select(F.col("segment").alias(SEGMENT), "base"), SEGMENT).withColumn(ROW_ID, F.col("base") + F.col(INDEX)).drop("base")
+            out = self._numbered(out, kept, len(found))
         if predicate is not None:
             out = out.where(predicate.column())
         names = columns or [*self.schema.names, *self.state["virtual"]]
@@ -307,6 +306,26 @@ class Table:
 
     # ---- aggregates from statistics
 
+    def fetch_rows(self, numbers: DataFrame) -> DataFrame:
+        """The live rows whose row ids are in the first column of ``numbers``.
+
+        Segments outside the least and greatest wanted id aren't read; the
+        rest is an ordinary join, however many ids there are.
+        """
+        wanted = numbers.select(F.col(numbers.columns[0]).cast("long").alias(ROW_ID)).distinct()
+        low, high = wanted.agg(F.min(ROW_ID), F.max(ROW_ID)).first()
+        m = self.manifest()
+        kept = m.where((F.col("base") <= F.lit(high)) & (F.col("base") + F.col("rows") > F.lit(low)))
+        found = kept.select("segment").collect()
+        self.last_report = ScanReport(m.count(), len(found))
+        out = self._numbered(self._rows([r.segment for r in found]), kept, len(found))
+        return out.join(wanted, ROW_ID, "left_semi").select(*self.schema.names, *self.state["virtual"])
+
+    def _numbered(self, rows: DataFrame, kept: DataFrame, n: int) -> DataFrame:
+        """``rows`` with row ids: a join with the manifest by segment, which is small against the rows."""
+        first = kept.select(F.col("segment").alias(SEGMENT), "base")
+        return rows.join(F.broadcast(first) if n < 100_000 else first, SEGMENT).withColumn(ROW_ID, F.col("base") + F.col(INDEX)).drop("base")
+
     def aggregate(self, **wanted: tuple[str, str]) -> DataFrame:
         """One row of name = (function, column), for count, count(column), min, max, sum and avg without a filter.
 

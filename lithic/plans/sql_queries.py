@@ -38,6 +38,10 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     # filters and projections
     "filter_range": "SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '1996-12-31 00:00:00' AND o_totalprice >= 1000.0",
     "filter_eq": "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'",
+    "filter_eq_types": (
+        "SELECT n_nationkey FROM {nation} WHERE ARRAY(n_nationkey, n_regionkey) = ARRAY(n_regionkey, n_nationkey) OR UNHEX(MD5(n_name)) = UNHEX(MD5('NATION_7')) OR CAST(n_nationkey AS DECIMAL(9,2)) = 11.00 OR TO_JSON(FROM_JSON(CONCAT('{{\"k\": ', n_nationkey, '}}'), 'k INT')) = '{{\"k\":12}}'",
+        "SELECT n_nationkey FROM {nation} WHERE [n_nationkey, n_regionkey] = [n_regionkey, n_nationkey] OR MD5(n_name) = MD5('NATION_7') OR n_nationkey IN (11, 12)",
+    ),
     "filter_isnull": "SELECT c_custkey FROM (SELECT c_custkey, NULLIF(c_mktsegment, 'BUILDING') AS seg FROM {customer}) t WHERE seg IS NULL",
     "filter_notnull": "SELECT c_custkey, seg FROM (SELECT c_custkey, NULLIF(c_mktsegment, 'BUILDING') AS seg FROM {customer}) t WHERE seg IS NOT NULL",
     "filter_compound": "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_quantity > 10 AND l_discount BETWEEN 0.02 AND 0.06 AND l_returnflag = 'R' AND (l_linenumber < 5)",
@@ -94,6 +98,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "window_running_sum": "SELECT event_id, CAST(SUM(CAST(value AS DECIMAL(18,4))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) AS running FROM {events}",
     "window_rows_frame": "SELECT event_id, MAX(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS m FROM {events}",
     "window_range_frame": "SELECT event_id, COUNT(*) OVER (PARTITION BY event_type ORDER BY event_id RANGE BETWEEN 50 PRECEDING AND CURRENT ROW) AS n FROM {events}",
+    "window_interval_frame": ("SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '6' HOUR PRECEDING AND CURRENT ROW) AS n FROM {events}", "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS n FROM {events}"),
     # order, limits, sets
     "order_by": "SELECT c_custkey, c_acctbal FROM {customer} ORDER BY c_acctbal ASC NULLS LAST, c_custkey",
     "topk": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM {lineitem} ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20",

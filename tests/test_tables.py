@@ -321,3 +321,13 @@ def test_group_cap_and_sampled_statistics(spark):
     got = {r.attname: r for r in sampled_summary(rows, ["few", "id", "some"], sample=5000).collect()}
     assert got["few"].n_distinct == 50 and got["few"].null_frac == 0
     assert got["id"].n_distinct < -0.9 and abs(got["some"].null_frac - 0.75) < 0.03
+
+
+def test_rows_are_fetched_by_number(spark, tmp_path):
+    t = Table.create_as(spark, f"file://{tmp_path}/t", spark.range(40).repartitionByRange(4, "id"))
+    t.delete(F.col("id") == 3)
+    of = {r.id: r["__row_id"] for r in t.scan(meta=True).collect()}
+    numbers = lambda *n: spark.createDataFrame([(x,) for x in n], "n long")
+    assert sorted(r.id for r in t.fetch_rows(numbers(of[2], of[4], of[4], 999)).collect()) == [2, 4]
+    assert t.fetch_rows(numbers(of[35])).count() == 1 and t.last_report.read == 1
+    assert t.fetch_rows(numbers()).count() == 0 and t.last_report.read == 0
