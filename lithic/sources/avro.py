@@ -82,3 +82,42 @@ def read_records(raw: bytes) -> tuple[list[dict], dict[str, bytes]]:
         if b.take(16) != sync:
             raise ValueError("a block has the wrong marker")
     return out, meta
+
+
+def _long(n: int) -> bytes:
+    n, out = (n << 1) ^ (n >> 63), bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def _encoded(value: Any, kind: Any) -> bytes:
+    """``value`` in a schema without names that refer to one another; of a union, null or its other branch."""
+    if isinstance(kind, list):
+        at = kind.index("null") if value is None else next(k for k, x in enumerate(kind) if x != "null")
+        return _long(at) + _encoded(value, kind[at])
+    if isinstance(kind, str):
+        if kind in ("bytes", "string"):
+            raw = value.encode() if kind == "string" else bytes(value)
+            return _long(len(raw)) + raw
+        plain = {"null": lambda: b"", "boolean": lambda: bytes([bool(value)]), "int": lambda: _long(value), "long": lambda: _long(value), "float": lambda: struct.pack("<f", value), "double": lambda: struct.pack("<d", value)}
+        return plain[kind]()
+    if kind["type"] == "record":
+        return b"".join(_encoded(value.get(f["name"]), f["type"]) for f in kind["fields"])
+    if kind["type"] in ("array", "map"):
+        items = [_encoded(x, kind["items"]) for x in value] if kind["type"] == "array" else [_encoded(k, "string") + _encoded(v, kind["values"]) for k, v in value.items()]
+        return (_long(len(items)) + b"".join(items) if items else b"") + _long(0)
+    return _encoded(value, kind["type"])
+
+
+def write_records(kind: dict, records: list[dict], meta: dict[str, str] | None = None) -> bytes:
+    """An Avro container of one deflated block; it reads back as ``records``."""
+    body = b"".join(_encoded(r, kind) for r in records)
+    squeeze = zlib.compressobj(wbits=-15)
+    block = squeeze.compress(body) + squeeze.flush()
+    head = {"avro.schema": json.dumps(kind), "avro.codec": "deflate", **(meta or {})}
+    sync = struct.pack("<QQ", zlib.crc32(body), len(body))
+    packed = _long(len(records)) + _long(len(block)) + block + sync if records else b""
+    return b"Obj\x01" + _encoded({k: v.encode() for k, v in head.items()}, {"type": "map", "values": "bytes"}) + sync + packed

@@ -48,6 +48,10 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 def create_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a new file; raises Exists where there is one, which makes it the point of commit."""
+    create_bytes(spark, path, text.encode())
+
+
+def create_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
     fs, where = _at(spark, path)
     try:
         stream = fs.create(where, False)
@@ -56,7 +60,7 @@ def create_text(spark: SparkSession, path: str, text: str) -> None:
             raise Exists(path) from e
         raise
     try:
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(raw))
     finally:
         stream.close()
 

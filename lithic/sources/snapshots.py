@@ -2,7 +2,9 @@
 
 The driver reads the metadata, leaves out data files that the predicate can't
 match (by partition values and column bounds), and hands Spark plain Parquet
-paths; deletes are anti-joins by file and position, or by values.
+paths; deletes are anti-joins by file and position, or by values.  Deletion
+vectors are unpacked by executors.  Files without field ids are bound by the
+table's name mapping.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ import datetime
 import json
 import re
 import struct
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +40,7 @@ class DataFile:
     lower: dict[int, bytes] = field(default_factory=dict)
     upper: dict[int, bytes] = field(default_factory=dict)
     equality_ids: list[int] = field(default_factory=list)
+    vector: tuple[str, int, int] | None = None  # data file, offset and size of a deletion vector's blob
 
 
 def spark_type(kind: Any) -> T.DataType:
@@ -54,6 +59,10 @@ def _bare(path: str) -> str:
     return re.sub("^[a-z0-9]+:/+", "/", path)
 
 
+def _bare_column(c) -> Column:
+    return F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
+
+
 def _bytes(spark: SparkSession, paths: list[str]) -> list[bytes]:
     """The files' contents, in one job."""
     if not paths:
@@ -129,11 +138,15 @@ class SnapshotTable:
     def __init__(self, spark: SparkSession, metadata_path: str):
         self.spark = spark
         self.meta = json.loads(files.read_text(spark, metadata_path))
-        if self.meta["format-version"] not in (1, 2):
+        if self.meta["format-version"] not in (1, 2, 3):
             raise ValueError(f"format version {self.meta['format-version']} is unknown")
         schemas = self.meta.get("schemas") or [self.meta["schema"]]
         self.fields = next(s for s in schemas if s.get("schema-id", 0) == self.meta.get("current-schema-id", 0))["fields"]
         self.by_name = {f["name"]: f for f in self.fields}
+        if late := [f["name"] for f in self.fields if f.get("initial-default") is not None]:
+            raise ValueError(f"columns with an initial default aren't known here: {late}")
+        mapped = self.meta.get("properties", {}).get("schema.name-mapping.default")
+        self.mapping = {m["field-id"]: m["names"] for m in json.loads(mapped) if "field-id" in m} if mapped else None
         self.specs = {s["spec-id"]: s["fields"] for s in self.meta.get("partition-specs", [])}
         now = self.meta.get("current-snapshot-id")
         self.snapshot = next((s for s in self.meta.get("snapshots", []) if s["snapshot-id"] == now), None)
@@ -162,7 +175,7 @@ class SnapshotTable:
                 sequence = e.get("sequence_number")
                 if sequence is None:  # inherited from the manifest, for added files only
                     sequence = m.get("sequence_number", 0)
-                out.append(DataFile(d["file_path"], d["record_count"], d.get("content", 0) or 0, sequence, m.get("partition_spec_id", 0), d.get("partition") or {}, pairs(d.get("lower_bounds")), pairs(d.get("upper_bounds")), d.get("equality_ids") or []))
+                out.append(DataFile(d["file_path"], d["record_count"], d.get("content", 0) or 0, sequence, m.get("partition_spec_id", 0), d.get("partition") or {}, pairs(d.get("lower_bounds")), pairs(d.get("upper_bounds")), d.get("equality_ids") or [], (d["referenced_data_file"], d["content_offset"], d["content_size_in_bytes"]) if d.get("content_offset") is not None else None))
         return out
 
     def data_files(self) -> DataFrame:
@@ -204,26 +217,87 @@ class SnapshotTable:
         data = [f for f in found if f.content == 0]
         kept = [f for f in data if all(self._possible(f, t) for t in _terms(predicate))]
         self.last_report = (len(data), len(kept))
-        positions = [f.path for f in found if f.content == 1]
+        positions = [f.path for f in found if f.content == 1 and not f.vector]
+        vectors = [f for f in found if f.vector]
         equality = [f for f in found if f.content == 2]
         if not kept:
             rows = self.spark.createDataFrame([], self.schema)
         else:
-            # Columns are bound by field id.  Plans read this setting when they run, so it stays on; it
-            # touches only reads whose schema carries ids.
-            self.spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
-            rows = self.spark.read.schema(self.schema).parquet(*[f.path for f in kept])
-            bare = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/+", "/")
-            rows = rows.select("*", bare.alias("__file"), F.col("_metadata.row_index").alias("__pos"))
+            rows = self._read([f.path for f in kept])
             if positions:
-                gone = self.spark.read.schema("file_path string, pos long").parquet(*positions).select(F.regexp_replace("file_path", "^[a-z0-9]+:/+", "/").alias("__file"), F.col("pos").alias("__pos"))
+                gone = self.spark.read.schema("file_path string, pos long").parquet(*positions).select(_bare_column("file_path").alias("__file"), F.col("pos").alias("__pos"))
                 rows = rows.join(gone, ["__file", "__pos"], "left_anti")
+            if vectors:
+                rows = rows.join(self._unpacked(vectors), ["__file", "__pos"], "left_anti")
             if equality:
                 rows = self._without(rows, kept, equality)
         if predicate is not None:
             rows = rows.where(predicate.column())
         return rows.select(*(columns or [f["name"] for f in self.fields]))
 
+    def _read(self, paths: list[str]) -> DataFrame:
+        """The files' rows with __file and __pos; columns are bound by field id, or by name in files without ids."""
+        # Plans read this setting when they run, so it stays on; it touches only reads whose schema carries ids.
+        self.spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
+        place = [_bare_column(F.col("_metadata.file_path")).alias("__file"), F.col("_metadata.row_index").alias("__pos")]
+        groups: dict[tuple[str | None, ...] | None, list[str]] = {}
+        for path, names in zip(paths, self._names_without_ids(paths), strict=True):
+            groups.setdefault(names, []).append(path)
+        parts = []
+        for names, group in groups.items():
+            if names is None:
+                parts.append(self.spark.read.schema(self.schema).parquet(*group).select("*", *place))
+                continue
+            kinds = [spark_type(f["type"]) for f in self.fields]
+            there = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True) if n])
+            columns = [(F.col(f"`{n}`") if n else F.lit(None).cast(k)).alias(f["name"]) for n, k, f in zip(names, kinds, self.fields, strict=True)]
+            parts.append(self.spark.read.schema(there).parquet(*group).select(*columns, *place))
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.union(p)
+        return rows
+
+    def _names_without_ids(self, paths: list[str]) -> list[tuple[str | None, ...] | None]:
+        """For each file None, or where it has no field ids the names of the table's columns in it.
+
+        Only a table with a name mapping is asked; then the driver reads the
+        files' footers, several at a time.
+        """
+        if self.mapping is None:
+            return [None] * len(paths)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+
+        def names(path: str) -> tuple[str | None, ...] | None:
+            source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf)
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+            try:
+                fields = list(reader.getFileMetaData().getSchema().getFields())
+            finally:
+                reader.close()
+            if any(f.getId() is not None for f in fields):
+                return None
+            have = {f.getName() for f in fields}
+            return tuple(next((n for n in self.mapping.get(f["id"], []) if n in have), None) for f in self.fields)
+
+        with ThreadPoolExecutor(16) as pool:
+            return list(pool.map(names, paths))
+
+    def _unpacked(self, vectors: list[DataFile]) -> DataFrame:
+        """__file and __pos of rows that deletion vectors name; executors read the blobs."""
+        from lithic.sources import deletion_vectors
+
+        listed = self.spark.createDataFrame([(_bare(f.path), _bare(f.vector[0]), f.vector[1], f.vector[2]) for f in vectors], "at string, __file string, start long, size long")
+        blobs = self.spark.read.format("binaryFile").load(sorted({f.path for f in vectors})).select(_bare_column("path").alias("at"), "content")
+        blobs = blobs.join(F.broadcast(listed), "at").select("__file", F.expr("substring(content, CAST(start AS INT) + 1, CAST(size AS INT))").alias("blob"))
+
+        def unpack(batches):
+            for b in batches:
+                for name, blob in zip(b.column("__file").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                    at = deletion_vectors.decode(blob)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64())], ["__file", "__pos"])
+
+        return blobs.mapInArrow(unpack, "__file string, __pos long")
+
     def _scope(self, f: DataFile) -> str | None:
         """What a file's equality deletes reach: its own partition, or everything where its spec has no fields."""
         return json.dumps([f.spec, sorted(f.partition.items())], default=str) if self.specs.get(f.spec) else None

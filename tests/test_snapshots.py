@@ -8,6 +8,7 @@ import zlib
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from lithic.operators.predicate import Compare, between
 from lithic.sources import avro
@@ -185,3 +186,45 @@ def test_broken_files():
     for raw in (b"", b"Obj\x01", b"nope" * 9):
         with pytest.raises(ValueError):
             avro.read_records(raw)
+
+
+def test_deletion_vectors_round_trip():
+    import numpy as np
+
+    from lithic.sources import deletion_vectors as dv
+
+    draw = np.random.default_rng(5)
+    for positions in ([], [0], [65535, 65536], range(5000), draw.integers(0, 1 << 34, 300), draw.integers(0, 1 << 17, 60_000)):
+        want = np.unique(np.array(list(positions), np.int64))
+        blob = dv.encode(want)
+        assert dv.decode(blob).tolist() == want.tolist()
+    broken = dv.encode(np.arange(10))
+    for raw in (b"", broken[:-1], broken[:9] + b"\1" + broken[10:], b"\0" * 40):
+        with pytest.raises(ValueError):
+            dv.decode(raw)
+
+
+def test_deletion_vector_with_runs():
+    from lithic.sources import deletion_vectors as dv
+
+    # One container of key 2 with the runs 3..5 and 9..9, as other writers pack them.
+    body = struct.pack("<QI", 1, 0) + struct.pack("<I", dv.WITH_RUNS) + b"\1" + struct.pack("<HH", 2, 3) + struct.pack("<HHHHH", 2, 3, 2, 9, 0)
+    inner = dv.MAGIC + body
+    blob = struct.pack(">I", len(inner)) + inner + struct.pack(">I", zlib.crc32(inner))
+    assert dv.decode(blob).tolist() == [2 * 65536 + n for n in (3, 4, 5, 9)]
+
+
+def test_written_table_prunes_and_deletes(spark, tmp_path):
+    from lithic.sources.snapshot_writer import SnapshotWriter
+
+    rows = spark.range(60).selectExpr("id", "CONCAT('p', id % 3) AS part", "id / 4 AS x")
+    w = SnapshotWriter(spark, str(tmp_path / "t"), rows.schema, ["part"], version=3)
+    w.append(rows.repartitionByRange(2, "id"))
+    with pytest.raises(ValueError):
+        SnapshotWriter(spark, str(tmp_path / "u"), rows.schema).delete_vectors(F.col("id") > 3)
+    w.delete_equal(spark.createDataFrame([(4,), (700,)], "id long"))
+    w.append(rows.where("id = 4"))
+    w.delete_vectors(F.col("id").between(10, 30))
+    t = w.table()
+    assert sorted(r.id for r in t.scan().collect()) == [n for n in range(60) if not 10 <= n <= 30]
+    assert t.scan(Compare("part", "=", "p1") & Compare("id", ">", 40)).count() == 6 and t.last_report[1] < t.last_report[0]
