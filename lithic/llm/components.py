@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Small star: every smaller neighbour of a node, and the node, move to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        now = materialize(small.where("u <> v").distinct(), "stars")
+        before, now = now, materialize(small.where("u <> v").distinct(), "stars")
+        discard(before)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark is not None and tuple(new) == mark:
             break

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import join_ids, joined_utf8, materialize, released, slices, whole_groups
+from .shared import discard, join_ids, joined_utf8, materialize, released, slices, whole_groups
 
 WORDS = 5
 PERCENT = 75
@@ -303,11 +303,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = members.select("band", "key", "node").join(centres, ["band", "key"]).where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     side = lambda node, n, keys: reps.select(F.col("node").alias(node), F.col("n").alias(n), F.col("keys").alias(keys))
     likely = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").mapInArrow(lambda b: released(likely_batches(b)), "a long, b long")
-    star = materialize(_verified(docs, materialize(likely, "likely"), repeated), "links")
+    likely = materialize(likely, "likely")
+    discard(crowded, rank, centres)
+    star = _verified(docs, likely, repeated)
+    discard(likely)
     comps = materialize(connected_components(star), "components")
 
     more = _compared(docs, reps, members, comps, repeated)
+    discard(members, comps)
     final = materialize(connected_components(star.union(more) if more is not None else star), "final")
+    discard(star, *([more] if more is not None else []))
     if repeated:  # components go by the least uid; they are named by the least id
         least = reps.join(full.select("n", "s1", "s2", "doc_id"), ["n", "s1", "s2"]).join(final, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("doc_id").alias("least"))
         by_set = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")).join(least, "component").select("n", "s1", "s2", F.col("least").alias("component_id"))
@@ -340,12 +345,15 @@ def _compared(docs: DataFrame, reps: DataFrame, members: DataFrame, comps: DataF
     dealt = dealt.select("band", "key", "pair.lo", "pair.hi", "chunk", "node", "component").join(reps.select("node", "n", "keys"), "node")
     fields = "node long, band int, key long, lo int, hi int, chunk int, component long, n long, keys array<long>"
     hoped = materialize(dealt.repartition(tasks, *GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda b: released(hopeful_batches(b)), fields), "hopeful")
+    discard(placed, split)
     size = hoped.agg(F.sum(8 * F.col("n"))).first()[0]
     if not size:
         return None
     sets = _sets(docs, hoped.select("node").distinct(), repeated)
     dealt = hoped.join(sets, "node").repartition(spread(size / BYTES_TASK), *GROUP).sortWithinPartitions(*GROUP)
-    return materialize(dealt.mapInArrow(lambda b: released(linked_batches(b)), "a long, b long"), "more-links")
+    more = materialize(dealt.mapInArrow(lambda b: released(linked_batches(b)), "a long, b long"), "more-links")
+    discard(hoped, sets)
+    return more
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
@@ -361,7 +369,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
     sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), repeated)
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return joined.withColumn("both", both).where(100 * F.col("both") >= PERCENT * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+    links = joined.withColumn("both", both).where(100 * F.col("both") >= PERCENT * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+    links = materialize(links, "links")
+    discard(sets)
+    return links
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_made: list[tuple[SparkSession, str]] = []
+#: Folders of scratch tables that are still there, and which frame reads which.
+_made: dict[str, SparkSession] = {}
+_read_from: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 _shipped: set[str] = set()
@@ -61,23 +64,36 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read, not a re-run.  The
-    folders go when the session's process ends.
+    This cuts the lineage: a lost executor costs a re-read, not a re-run.  A
+    table goes when ``discard`` names it, else when the session's process ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _made:
         atexit.register(_clean)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    _read_from[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables whose every reader has been written: nothing may be computed from them any more."""
+    for df in tables:
+        if path := _read_from.pop(df, None):
+            _remove(_made.pop(path), path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _clean() -> None:
-    for spark, path in _made:
+    for path, spark in _made.items():
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # the JVM is gone already; the folder stays for whoever owns it
             return
 
