@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -68,3 +69,25 @@ def create_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
 def remove(spark: SparkSession, path: str) -> None:
     fs, where = _at(spark, path)
     fs.delete(where, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    fs, where = _at(spark, source)
+    if not fs.rename(where, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"{source} can't be moved to {target}")
+
+
+@contextmanager
+def opened(spark: SparkSession, path: str):
+    """A function (offset, length) that reads bytes, fewer at the end, and the file's size."""
+    fs, where = _at(spark, path)
+    stream = fs.open(where)
+
+    def read_at(offset: int, length: int) -> bytes:
+        stream.seek(offset)
+        return bytes(stream.readNBytes(length))
+
+    try:
+        yield read_at, fs.getFileStatus(where).getLen()
+    finally:
+        stream.close()

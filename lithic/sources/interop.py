@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lithic.sources import files
 
@@ -117,46 +118,99 @@ def parallel_export_parquet(rows: DataFrame, path: str, workers: int) -> int:
     return rows.sparkSession.read.parquet(path).count()
 
 
+#: Stores that Arrow opens by itself, with the scheme that it knows each by.
+ARROW_STORES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs"}
+
+
+def _arrow_uri(uri: str) -> str | None:
+    scheme, rest = uri.split(":", 1)
+    known = ARROW_STORES.get(scheme)
+    return known and f"{known}://{'/' if known == 'file' else ''}{rest.lstrip('/')}"
+
+
 def export_arrow(rows: DataFrame, path: str, workers: int | None = None) -> int:
-    """Arrow IPC streams, one a partition, as rows of a binary-safe folder: no row passes the driver.
+    """A new folder of Arrow IPC streams, part-00000.arrows and so on, one a partition; returns the number of rows.
 
-    Each stream is base64 text on a line of its own, so that any store Spark
-    writes to can hold it; import_arrow reads it back, and also plain .arrows
-    files.
+    Tasks write straight to the store, batch by batch, under names of their
+    own; what the tasks that counted wrote is then moved into place, so a task
+    that runs twice leaves nothing behind, and the success marker comes last.
+    Any reader of Arrow streams opens the files.  Empty partitions leave no
+    file; an empty table leaves one without batches.
     """
-    import base64
-
-    def pack(batches):
-        sink, writer, n = pa.BufferOutputStream(), None, 0
-        for b in batches:
-            writer = writer or pa.ipc.new_stream(sink, b.schema)
-            writer.write_batch(b)
-            n += b.num_rows
-        if writer:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"value": [base64.b64encode(sink.getvalue().to_pybytes()).decode()]})
+    import uuid
+
+    spark = rows.sparkSession
+    where = files.qualified(spark, path)
+    uri = _arrow_uri(where)
+    if uri is None:
+        raise ValueError(f"Arrow knows no store for {where}")
+    if files.exists(spark, where):
+        raise FileExistsError(where)
+    draft = f"_draft-{uuid.uuid4().hex}"
+
+    def write(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, folder = fs.FileSystem.from_uri(f"{uri}/{draft}")
+        store.create_dir(folder, recursive=True)
+        part, name = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.arrows"
+        writer, n = None, 0
+        with store.open_output_stream(f"{folder}/{name}") as sink:
+            for b in batches:
+                writer = writer or pa.ipc.new_stream(sink, b.schema)
+                writer.write_batch(b)
+                n += b.num_rows
+            if writer:
+                writer.close()
+        if n:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n": pa.array([n], pa.int64())})
 
     source = rows.repartition(workers) if workers else rows
-    source.mapInArrow(pack, "value string").write.mode("errorifexists").text(path)
-    return rows.count()
+    try:
+        done = source.mapInArrow(write, "part int, name string, n long").orderBy("part").collect()
+        for k, r in enumerate(done):
+            files.move(spark, f"{where}/{draft}/{r.name}", f"{where}/part-{k:05d}.arrows")
+        if not done:
+            sink = pa.BufferOutputStream()
+            pa.ipc.new_stream(sink, to_arrow_schema(rows.schema)).close()
+            files.create_bytes(spark, f"{where}/part-00000.arrows", sink.getvalue().to_pybytes())
+        files.remove(spark, f"{where}/{draft}")
+    except BaseException:
+        files.remove(spark, where)
+        raise
+    files.create_text(spark, f"{where}/_SUCCESS", "")
+    return sum(r.n for r in done)
 
 
 def import_arrow(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows of Arrow IPC streams: what export_arrow wrote, or .arrows files, each read by one task."""
-    import base64
+    """Rows of a folder's .arrows files, which are Arrow IPC streams, each read by one task, batch by batch.
+
+    Columns are taken by name and cast to ``schema``, dictionaries unpacked; a
+    column that a file lacks is an error.  In stores that Arrow doesn't know
+    Spark reads the files, each as a whole.
+    """
+    import re
+
+    target = pa.schema([f.with_nullable(True) for f in to_arrow_schema(schema)])
+    direct = _arrow_uri(files.qualified(spark, path)) is not None
 
     def unpack(batches):
+        from pyarrow import fs
+
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                stream = base64.b64decode(raw) if isinstance(raw, str) else raw
-                for out in pa.ipc.open_stream(stream):
-                    yield out
+            for at in b.column(0).to_pylist():
+                if direct:
+                    store, name = fs.FileSystem.from_uri(_arrow_uri(re.sub("^file:/+", "file:///", at)))
+                    stream = store.open_input_stream(name)
+                else:
+                    stream = pa.BufferReader(at)
+                with stream, pa.ipc.open_stream(stream) as got:
+                    for batch in got:
+                        yield from pa.Table.from_batches([batch]).select(target.names).cast(target).to_batches()
 
-    if any(n.endswith(".arrows") for n in files.names(spark, path)):
-        raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrows").load(path).select("content")
-    else:
-        raw = spark.read.text(path)
-    return raw.mapInArrow(unpack, schema)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrows").load(path)
+    return found.select("path" if direct else "content").mapInArrow(unpack, schema)
 
 
 def import_parquet(table, path: str) -> int:
@@ -208,10 +262,17 @@ def write_copy_text(rows: DataFrame, path: str, delimiter: str = "\t", null: str
     rows.select(F.concat_ws(delimiter, *[quoted(c) for c in rows.columns]).alias("value")).write.text(path)
 
 
-def file_split_offsets(raw: bytes, workers: int) -> list[int]:
-    """Offsets at which ``workers`` readers can start on whole lines."""
-    out = [0]
-    for k in range(1, workers):
-        end = raw.find(b"\n", max(out[-1], k * len(raw) // workers - 1))
-        out.append(len(raw) if end < 0 else end + 1)
-    return [*out, len(raw)]
+def file_split_offsets(spark: SparkSession, path: str, workers: int) -> list[int]:
+    """Offsets at which ``workers`` readers of a text file can start on whole lines, and its end; only what surrounds them is read."""
+    with files.opened(spark, path) as (read_at, size):
+        out = [0]
+        for k in range(1, workers):
+            at = max(out[-1], k * size // workers - 1)
+            while at < size:
+                piece = read_at(at, 1 << 16)
+                if (end := piece.find(b"\n")) >= 0:
+                    at += end + 1
+                    break
+                at += len(piece)
+            out.append(min(at, size))
+    return [*out, size]
