@@ -10,15 +10,20 @@ full sets.
 
 Equal sets are one node from the start.  In each band's bucket every node is
 first checked against one centre, the node that shares most buckets; that is
-linear, and settles groups whose members resemble their origin.  Only buckets
-that still hold several components are then compared node by node, in pairs of
-chunks of a bounded number of nodes, leaving out pairs already connected, so no
-link between different sets is lost beyond the bands' own chance of a miss
-(5e-6 at the threshold).
+linear, and settles groups whose members resemble their origin.  Buckets that
+still hold several components are then searched for links between these.  Those
+of a bounded number of nodes are compared node by node.  The nodes of larger
+ones are joined on rare shingles: two sets that reach the threshold share one
+among so few of the rarest of each that a set which missed its centre has none
+of the centre's among them.  No row is repeated for each part of its bucket,
+and no link between different sets is lost beyond the bands' own chance of a
+miss (5e-6 at the threshold).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,9 +40,13 @@ BANDS = REGISTERS // BAND
 MANTISSA = 10
 #: Estimates this far below the threshold are still verified: 4.5 standard deviations of the estimate.
 MARGIN = 4.5 * (0.75 * 0.25 / REGISTERS) ** 0.5
+#: Nodes, and bytes of their shingle sets, up to which a bucket is compared node by node.
 CHUNK = 200
-#: Bytes of shingle sets that a chunk holds, unless a single set is larger.
 CHUNK_BYTES = 1 << 22
+#: Ratio of one class of set sizes to the next.
+SIZE_STEP = 1.1
+#: Shingles, the most frequent ones, that are ordered by frequency; 16 bytes each are sent to every task.
+RANKED = 250_000
 #: Work that a task gets: pairs of nodes, rows, bytes of sets.
 PAIRS_TASK, ROWS_TASK, BYTES_TASK = 1 << 21, 1 << 15, 1 << 24
 
@@ -194,32 +203,30 @@ def likely_batches(batches):
 
 #: Pairs whose registers are compared at a time.
 PAIRS = 4096
-GROUP = ["band", "key", "lo", "hi"]
+GROUP = ["band", "key"]
 
 
 def candidates(batch: pa.RecordBatch):
     """Yield (i, j, estimate) of row pairs of ``batch``, which holds whole groups, that may reach the threshold.
 
-    A pair stands in one group, in different components and, if the group
-    joins two chunks, in different chunks; it belongs to the first band that
-    it shares.  Rows are paired with those 1, 2, 3 ... places further on, for
-    all groups at once, so nothing is looped over by group or row.
+    A pair stands in one group, in different components; it belongs to the
+    first band that it shares.  Rows are paired with those 1, 2, 3 ... places
+    further on, for all groups at once, so nothing is looped over by group or
+    row.
     """
-    columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in [*GROUP, "chunk", "component", "n"]}
+    columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in [*GROUP, "component", "n"]}
     keys = batch.column("keys").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, BANDS)
     regs = keys.view(np.uint16)
     new = np.zeros(batch.num_rows, bool)
     for c in GROUP:
         new[1:] |= columns[c][1:] != columns[c][:-1]
     group, n = np.cumsum(new), columns["n"].astype(np.int64)
-    across = columns["lo"] != columns["hi"]
     for apart in range(1, batch.num_rows):
         first = np.flatnonzero(group[apart:] == group[:-apart])
         if not len(first):
             break
         second = first + apart
         good = columns["component"][first] != columns["component"][second]
-        good &= ~across[first] | (columns["chunk"][first] != columns["chunk"][second])
         good &= 100 * np.minimum(n[first], n[second]) >= PERCENT * np.maximum(n[first], n[second])
         first, second = first[good], second[good]
         for at in range(0, len(first), PAIRS):
@@ -274,6 +281,58 @@ def linked_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def least_shared(n, m):
+    """Elements that sets of n and m elements share at least, if they reach the threshold."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
+
+
+def size_classes(most: int) -> np.ndarray:
+    """The least size of each class, up to sizes of ``most``."""
+    out = [1]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, int(out[-1] * SIZE_STEP)))
+    return np.array(out, np.int64)
+
+
+def prefix_batches(batches, ranked: np.ndarray, rank: np.ndarray, complete: bool):
+    """Elements by which a node is found, for each class of sizes a partner may have.
+
+    In a set's order the ``ranked`` elements (ascending) come last, by their
+    ``rank``.  If the list is ``complete`` the others are in no other component
+    and give no row.  Of two sets in the same order that have ``least_shared``
+    elements in common, each has the first of these among its first
+    n - least_shared + 1.
+    """
+    for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+        sizes = batch.column("n").to_numpy()
+        lows = size_classes(int(sizes.max()) * 100 // PERCENT + 1)
+        lists = batch.column("hashes")
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        rows, elements, places, others = [], [], [], []
+        for row, n in enumerate(sizes.tolist()):
+            one = np.sort(flat[offsets[row] : offsets[row + 1]])
+            at = np.minimum(np.searchsorted(ranked, one), len(ranked) - 1)
+            listed = ranked[at] == one
+            free = one[~listed]
+            ordered = np.concatenate([free, one[listed][np.argsort(rank[at[listed]])]])
+            skipped, least = len(free) if complete else 0, -(-PERCENT * n // 100)
+            first, last = np.searchsorted(lows, [least, n * 100 // PERCENT], side="right") - 1
+            kinds = np.arange(first, last + 1)
+            take = np.maximum(n - least_shared(n, np.maximum(lows[kinds], least)) + 1 - skipped, 0)
+            at = skipped + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+            rows.append(np.full(len(at), row))
+            elements.append(ordered[at])
+            places.append(at + 1)
+            others.append(np.repeat(kinds, take))
+        rows, elements, places, others = map(np.concatenate, (rows, elements, places, others))
+        own = (np.searchsorted(lows, sizes, side="right") - 1)[rows]
+        node, component = (batch.column(c).to_numpy()[rows] for c in ("node", "component"))
+        for at in range(0, len(rows), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            columns = [elements[part], np.minimum(own, others)[part], np.maximum(own, others)[part], own[part], node[part], component[part], sizes[rows[part]], places[part]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["e", "lo", "hi", "own", "node", "component", "n", "place"])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text).
 
@@ -301,9 +360,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     top = F.max(F.struct("s", (-F.col("node")).alias("minus"))).alias("top")
     centres = materialize(members.join(rank, "node").groupBy("band", "key").agg(top).select("band", "key", (-F.col("top.minus")).alias("centre")), "centres")
     pairs = members.select("band", "key", "node").join(centres, ["band", "key"]).where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    side = lambda node, n, keys: reps.select(F.col("node").alias(node), F.col("n").alias(n), F.col("keys").alias(keys))
-    likely = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").mapInArrow(lambda b: released(likely_batches(b)), "a long, b long")
-    likely = materialize(likely, "likely")
+    likely = materialize(_likely(reps, pairs), "likely")
     discard(crowded, rank, centres)
     star = _verified(docs, likely, repeated)
     discard(likely)
@@ -311,8 +368,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     more = _compared(docs, reps, members, comps, repeated)
     discard(members, comps)
-    final = materialize(connected_components(star.union(more) if more is not None else star), "final")
-    discard(star, *([more] if more is not None else []))
+    final = materialize(connected_components(reduce(DataFrame.union, [star, *more])), "final")
+    discard(star, *more)
     if repeated:  # components go by the least uid; they are named by the least id
         least = reps.join(full.select("n", "s1", "s2", "doc_id"), ["n", "s1", "s2"]).join(final, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("doc_id").alias("least"))
         by_set = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")).join(least, "component").select("n", "s1", "s2", F.col("least").alias("component_id"))
@@ -324,28 +381,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return named.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _compared(docs: DataFrame, reps: DataFrame, members: DataFrame, comps: DataFrame, repeated: bool) -> DataFrame | None:
-    """Further links (a, b) within buckets that still hold several components, compared node by node.
-
-    Chunks are bounded by nodes and by the bytes of their sets; the number of
-    tasks follows the number of pairs.
-    """
+def _compared(docs: DataFrame, reps: DataFrame, members: DataFrame, comps: DataFrame, repeated: bool) -> list[DataFrame]:
+    """Further links (a, b) within buckets that still hold several components."""
     placed = materialize(members.drop("c").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    size = F.greatest(F.ceil(F.col("c") / CHUNK), F.ceil(F.col("total") / (CHUNK_BYTES // 8))).cast("int")
     split = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("total"))
-    split = materialize(split.where("low <> high").select("band", "key", "c", size.alias("chunks")), "split")
-    work = split.agg(F.sum(F.col("c") * F.col("c")).alias("pairs"), F.sum(F.col("c") * F.col("chunks")).alias("rows")).first()
+    large = (F.col("c") > CHUNK) | (F.col("total") > CHUNK_BYTES // 8)
+    split = materialize(split.where("low <> high").select("band", "key", "c", large.alias("large")), "split")
+    nodes = materialize(placed.join(split.where("large").select("band", "key"), ["band", "key"]).select("node", "n", "component").distinct(), "large")
+    found = [_by_node(docs, reps, placed, split.where("not large").drop("large"), repeated), _by_shingle(docs, reps, nodes, repeated)]
+    discard(placed, split, nodes)
+    return [links for links in found if links is not None]
+
+
+def _by_node(docs: DataFrame, reps: DataFrame, placed: DataFrame, split: DataFrame, repeated: bool) -> DataFrame | None:
+    """Links (a, b) within the buckets of ``split``, compared node by node; the number of tasks follows the number of pairs."""
+    work = split.agg(F.sum(F.col("c") * F.col("c")).alias("pairs"), F.sum("c").alias("rows")).first()
     if not work["rows"]:
         return None
     spread = lambda most: max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(most))
     tasks = spread(max(work["pairs"] / PAIRS_TASK, work["rows"] / ROWS_TASK))
-    dealt = placed.drop("n").join(split.drop("c"), ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    pair = lambda k: F.struct(F.least(k, F.col("chunk")).alias("lo"), F.greatest(k, F.col("chunk")).alias("hi"))
-    dealt = dealt.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), pair)))
-    dealt = dealt.select("band", "key", "pair.lo", "pair.hi", "chunk", "node", "component").join(reps.select("node", "n", "keys"), "node")
-    fields = "node long, band int, key long, lo int, hi int, chunk int, component long, n long, keys array<long>"
+    dealt = placed.drop("n").join(split.drop("c"), ["band", "key"])
+    dealt = dealt.select("band", "key", "node", "component").join(reps.select("node", "n", "keys"), "node")
+    fields = "node long, band int, key long, component long, n long, keys array<long>"
     hoped = materialize(dealt.repartition(tasks, *GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda b: released(hopeful_batches(b)), fields), "hopeful")
-    discard(placed, split)
     size = hoped.agg(F.sum(8 * F.col("n"))).first()[0]
     if not size:
         return None
@@ -356,6 +414,46 @@ def _compared(docs: DataFrame, reps: DataFrame, members: DataFrame, comps: DataF
     return more
 
 
+def _by_shingle(docs: DataFrame, reps: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame | None:
+    """All links (a, b) between different components of ``nodes`` (node, n, component), found by rare shingles.
+
+    Shingles of a single component can't be shared with another, so they come
+    first in a set's order; a set with enough of them has no partner and gives
+    no row.  Where more than RANKED shingles are shared only the most frequent
+    are ranked, and all others come first and give rows: any order finds all
+    links.  Of the rows of one shingle, those of the component that has most are
+    not paired among themselves.
+    """
+    if nodes.isEmpty():
+        return None
+    sets = _sets(docs, nodes.select("node"), repeated)
+    open_sets = sets.join(nodes, "node")
+    counts = open_sets.select("component", F.explode("hashes").alias("e")).groupBy("e").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c"))
+    top = counts.where("low <> high").select("e", "c").orderBy(F.desc("c"), F.desc("e")).limit(RANKED).toArrow()
+    if not top.num_rows:
+        return None
+    ranked = top.column("e").to_numpy()
+    order, complete = np.argsort(ranked), len(ranked) < RANKED
+    ranked, rank = ranked[order], -order  # the most frequent come last
+    fields = "e long, lo long, hi long, own long, node long, component long, n long, place long"
+    entries = materialize(open_sets.mapInArrow(lambda b: released(prefix_batches(b, ranked, rank, complete)), fields), "entries")
+    discard(sets)
+    key = ["e", "lo", "hi"]
+    most = entries.groupBy(*key, "component").count().groupBy(*key).agg(F.max(F.struct("count", "component")).alias("top"), F.count(F.lit(1)).alias("several"))
+    met = materialize(entries.join(most.where("several > 1").select(*key, F.col("top.component").alias("main")), key), "met")
+    side = lambda s: met.select(*key, *(F.col(c).alias(c + s) for c in ("own", "node", "component", "n", "place", "main")))
+    need = F.ceil(PERCENT * (F.col("n1") + F.col("n2")) / (100 + PERCENT))
+    near = (F.col("n1") - F.col("place1") + 1 >= need) & (F.col("n2") - F.col("place2") + 1 >= need)
+    once = "component1 <> component2 and (lo = hi or own1 <> own2) and (component2 = main2 or node1 < node2)"
+    pairs = side("1").where("component1 <> main1").join(side("2"), key).where(once).where(near)
+    pairs = materialize(pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), "pairs")
+    likely = materialize(_likely(reps, pairs), "likely")
+    discard(entries, met, pairs)
+    links = _verified(docs, likely, repeated)
+    discard(likely)
+    return links
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
     """node, hashes: full shingle sets of the wanted uids; texts of others are dropped before anything is computed."""
     found = join_ids(docs, wanted.select(F.col("node").alias("uid")), "left_semi")
@@ -364,6 +462,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
     return materialize(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
 
 
+def _likely(reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose registers may reach the threshold."""
+    side = lambda node, n, keys: reps.select(F.col("node").alias(node), F.col("n").alias(n), F.col("keys").alias(keys))
+    return pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").mapInArrow(lambda b: released(likely_batches(b)), "a long, b long")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), repeated)

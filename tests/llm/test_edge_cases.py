@@ -192,6 +192,55 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(texts))}
 
 
+def one_group(n):
+    """Near copies of one text, a third too far from it; every fourth of these has a copy of its own."""
+    import random
+
+    random.seed(8)
+    base, out = [f"w{k}" for k in range(90)], [" ".join(f"w{k}" for k in range(90))]
+    while len(out) < n:
+        words = list(base)
+        for at in random.sample(range(90), random.choice([1, 2, 3, 3, 5, 6])):
+            words[at] = f"x{random.randrange(10**9)}"
+        out.append(" ".join(words))
+        if len(out) % 12 == 0:
+            out.append(" ".join([*words[:-1], "end"][: random.choice([90, 84])]))
+    return out[:n]
+
+
+@pytest.mark.parametrize("ranked", [250_000, 5])
+def test_near_duplicates_within_a_large_bucket(spark, monkeypatch, ranked):
+    monkeypatch.setattr(near_dedup, "CHUNK", 7)
+    monkeypatch.setattr(near_dedup, "RANKED", ranked, raising=False)
+    texts = one_group(240)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    least = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and least[a] != least[b]:
+                low, high = sorted((least[a], least[b]))
+                least = [low if x == high else x for x in least]
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(least))
+    assert sum(least.count(x) > 1 for x in set(least)) > 5
+
+
+def test_near_duplicates_rows_grow_with_the_group_not_its_square(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", 10)
+    made, write = [], near_dedup.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    for n in (200, 800):
+        made.append(0)
+        near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(one_group(n))), "doc_id long, text string")).count()
+    assert made[1] < 6 * made[0], made
+
+
 def test_language(docs, empty, spark):
     model = langid.train(docs)
     got = langid.identify(docs, model).collect()
