@@ -29,6 +29,8 @@ from lithic.sources import files
 
 FORMAT = 1
 ROWS_A_GROUP = 150_000
+#: Rows that a task which sorts or writes is given, unless a segment holds more.
+ROWS_A_TASK = 300_000
 #: Manifests that may stand side by side before they are folded into one.
 FOLD = 16
 OPTIONS = {"row_group_rows": ROWS_A_GROUP, "vector_rows": 10_000, "compression": "zstd", "compression_level": 3, "sort_by": None, "bloom": None}
@@ -226,8 +228,12 @@ class Table:
             out += [F.count(c).alias(f"{f.name}.values"), (F.count(F.lit(1)) - F.count(c)).alias(f"{f.name}.nulls")]
             if not isinstance(f.dataType, _NO_BOUNDS):
                 out += [F.min(c).alias(f"{f.name}.min"), F.max(c).alias(f"{f.name}.max")]
-            if isinstance(f.dataType, (*_EXACT, T.DecimalType)):
-                out.append(F.sum(c.cast("decimal(38,0)") if isinstance(f.dataType, _EXACT) else c).alias(f"{f.name}.sum"))
+            if isinstance(f.dataType, T.LongType):
+                # Upper and lower halves add up in longs, without a decimal object for each row.
+                high, low = F.sum(F.shiftright(c, 32)), F.sum(c.bitwiseAND(F.lit((1 << 32) - 1)))
+                out.append((high.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low.cast("decimal(20,0)")).cast("decimal(38,0)").alias(f"{f.name}.sum"))
+            elif isinstance(f.dataType, (*_EXACT, T.DecimalType)):
+                out.append((F.sum(c).cast("decimal(38,0)") if isinstance(f.dataType, _EXACT) else F.sum(c)).alias(f"{f.name}.sum"))
         return out
 
     def _write_segments(self, rows: DataFrame, folder: str, statistics: bool = True) -> tuple[str, int]:
@@ -246,10 +252,11 @@ class Table:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.parquet(where)
         back = self.spark.read.schema(rows.schema).parquet(where)
-        sizes = self.spark.createDataFrame([(f"{where}/{n}", s) for n, s in files.sizes(self.spark, where).items() if n.endswith(".parquet")], "segment string, bytes long")
-        got = back.groupBy(F.concat(F.lit(where + "/"), F.col("_metadata.file_name")).alias("segment")).agg(F.count(F.lit(1)).alias("rows"), *(self._stats_columns(rows.schema) if statistics else []))
+        # Least and greatest texts alone would be found by sorting all rows by segment; with a collected list, here of nothing, Spark aggregates by hash.
+        nothing = F.size(F.collect_list(F.lit(None).cast("boolean")))
+        got = back.groupBy(F.concat(F.lit(where + "/"), F.col("_metadata.file_name")).alias("segment")).agg((F.count(F.lit(1)) + nothing).alias("rows"), F.max("_metadata.file_size").alias("bytes"), *(self._stats_columns(rows.schema) if statistics else []))
         before = F.coalesce(F.sum("rows").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        named = got.join(sizes, "segment").withColumn("base", before.cast("long")).withColumn("part", F.lit(len(self.state["manifests"])))
+        named = got.withColumn("base", before.cast("long")).withColumn("part", F.lit(len(self.state["manifests"])))
         path = f"{self.path}/_manifest/{uuid.uuid4().hex}"
         named.coalesce(1).write.parquet(path)
         return path, self.spark.read.parquet(path).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lithic.operators.predicate import Compare, Prefix, between
-from lithic.operators.table import Table
+from lithic.operators.table import ROWS_A_TASK, Table
 from lithic.session import load, workspace
 
 
 def make(spark: SparkSession, sf_dir: str, name: str, parts: int = 6, sort: str | None = None, **options) -> Table:
-    """A table of several segments, in key order by default, as a bulk load would leave it."""
+    """A table of several segments, in key order by default, as a bulk load would leave it; at least ``parts``, and more where a task would sort too many rows."""
     rows = load(spark, sf_dir, name)
+    parts = max(parts, -(-rows.count() // ROWS_A_TASK))
     rows = rows.repartitionByRange(parts, sort or rows.columns[0]).sortWithinPartitions(sort or rows.columns[0])
     return Table.create_as(spark, workspace(spark, name), rows, **options)
 

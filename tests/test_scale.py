@@ -1,8 +1,10 @@
 """What a task gets is bounded: it doesn't grow with the table."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
-from lithic.plans import lifecycle_queries
+from lithic.operators.table import Table
+from lithic.plans import lifecycle_queries, table_queries
 
 
 def test_counters_of_six_segments_hold_over_a_large_table(spark, tmp_path):
@@ -10,3 +12,26 @@ def test_counters_of_six_segments_hold_over_a_large_table(spark, tmp_path):
     rows = lifecycle_queries.explain_counters(spark, str(tmp_path)).collect()
     assert sorted(r.o_orderkey for r in rows) == list(range(400))
     assert {(r.total, r.adds_up, r.pruned) for r in rows} == {(6, True, True)}
+
+
+def test_parts_of_a_load_follow_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(table_queries, "ROWS_A_TASK", 500, raising=False)
+    spark.range(6000).select(F.col("id").alias("k"), F.col("id").cast("string").alias("s")).write.parquet(f"{tmp_path}/t.parquet")
+    t = table_queries.make(spark, str(tmp_path), "t", 3)
+    sizes = [r.rows for r in t.manifest().select("rows").collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 1000 and t.scan().count() == 6000
+
+
+def test_statistics_of_texts_need_no_sort_of_rows(spark, tmp_path, monkeypatch):
+    """Plans of all that a load runs, without a sort by segment."""
+    rows = spark.range(100).select("id", F.concat(F.lit("x"), F.col("id")).alias("s"), (F.lit((1 << 62) - 1) - F.col("id")).alias("big"), F.col("id").cast("int").alias("i"))
+    t = Table.create(spark, f"file://{tmp_path}/t", rows.schema)
+    seen = []
+    monkeypatch.setattr(DataFrame, "withColumn", lambda df, *a, _old=DataFrame.withColumn: (seen.append(df._jdf.queryExecution().sparkPlan().toString()), _old(df, *a))[1])
+    t.insert(rows.coalesce(1))
+    monkeypatch.undo()
+    plans = [p for p in seen if "Aggregate" in p]
+    assert plans and not any("SortAggregate" in p for p in plans)
+    m = t.manifest().first()
+    assert (m["s.min"], m["s.max"], m["s.values"], int(m["big.sum"]), int(m["i.sum"])) == ("x0", "x99", 100, 100 * ((1 << 62) - 1) - 4950, 4950)
+    assert m["bytes"] > 0
