@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from lithic.operators.table import Table
-from lithic.plans import lifecycle_queries, table_queries
+from lithic.plans import interop_queries, lifecycle_queries, table_queries
 
 
 def test_counters_of_six_segments_hold_over_a_large_table(spark, tmp_path):
@@ -35,3 +35,11 @@ def test_statistics_of_texts_need_no_sort_of_rows(spark, tmp_path, monkeypatch):
     m = t.manifest().first()
     assert (m["s.min"], m["s.max"], m["s.values"], int(m["big.sum"]), int(m["i.sum"])) == ("x0", "x99", 100, 100 * ((1 << 62) - 1) - 4950, 4950)
     assert m["bytes"] > 0
+
+
+def test_estimate_and_exact_count_are_aggregated_apart(spark, sf):
+    df = interop_queries.approx_distinct(spark, sf)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    grouped = [line for line in plan.splitlines() if "HashAggregate(keys=[o_custkey" in line]
+    assert grouped and not any("approx_count_distinct" in line for line in grouped)
+    assert [r.close for r in df.collect()] == [True]
