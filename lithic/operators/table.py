@@ -287,7 +287,7 @@ class Table:
             out = self.spark.createDataFrame([], empty)
         else:
             kinds = {f.name: f for f in self.schema}
-            read = self.spark.read.schema(self.schema).parquet(*segments)
+            read = self.spark.read.schema(self.schema).parquet(*self._paths(segments))
             path = F.col("_metadata.file_path")
             # Files may be named by another spelling of the same scheme (file:/ for file:///).
             out = read.select(*[F.col(f"`{f.name}`") for f in self.schema], F.regexp_replace(path, "^file:/+", "file:///").alias(SEGMENT), F.col("_metadata.row_index").alias(INDEX))
@@ -306,6 +306,13 @@ class Table:
             out = out.withColumn(c, F.expr(text))
         return out
 
+    def _paths(self, segments: list[str]) -> list[str]:
+        """What to read for these segments: a folder where all of its files are wanted, which is one listing however many they are."""
+        by: dict[str, list[str]] = {}
+        for s in segments:
+            by.setdefault(s.rsplit("/", 1)[0], []).append(s)
+        return [p for folder, own in by.items() for p in ([folder] if len(own) > 1 and files.count(self.spark, f"{folder}/*.parquet") == len(own) else own)]
+
     def point_lookup(self, name: str, value) -> DataFrame:
         from lithic.operators.predicate import Compare
 
@@ -540,12 +547,13 @@ class Table:
         """Rewrite live rows into full segments."""
         if stripe_count:
             raise ValueError("stripe_count must be 0")
-        n = self.aggregate(n=("count", "*")).first().n
-        self._commit(self._replaced(self.scan(columns=self.schema.names).repartition(max(1, -(-n // self.state["options"]["row_group_rows"])))))
+        self._commit(self._replaced(self.scan(columns=self.schema.names).repartition(self._parts())))
 
     def _parts(self) -> int:
+        """How many tasks rewrite the table: each writes whole segments, several where they are small, so that the shuffle's blocks don't grow with their number."""
         n = self.aggregate(n=("count", "*")).first().n
-        return max(1, -(-n // self.state["options"]["row_group_rows"]))
+        size = self.state["options"]["row_group_rows"]
+        return max(1, -(-n // (size * max(1, ROWS_A_TASK // size))))
 
     def vacuum_sorted(self, *columns: str) -> None:
         """Rewrite in ascending order, nulls last, so that segments hardly overlap."""
@@ -558,10 +566,13 @@ class Table:
 
     def cluster(self, *columns: str) -> None:
         """Rewrite in Z-order of the columns."""
-        from lithic.functions.zorder import zorder_key
+        from lithic.functions.zorder import ordinal, zorder_key
 
-        rows = self.scan(columns=self.schema.names)
-        rows = rows.withColumn("__z", zorder_key(rows, columns))
+        rows, kinds = self.scan(columns=self.schema.names), {f.name: f.dataType for f in self.schema}
+        # Ordinals keep the order of values, so the ends are those of the statistics.
+        ends = self.aggregate(**{f"{f}{k}": (f, c) for k, c in enumerate(columns) for f in ("min", "max")})
+        ends = ends.select(*[ordinal(f"{f}{k}", kinds[c]) for k, c in enumerate(columns) for f in ("min", "max")]).first()
+        rows = rows.withColumn("__z", zorder_key(rows, columns, ends))
         rows = rows.repartitionByRange(self._parts(), "__z").sortWithinPartitions("__z").drop("__z")
         self._commit(self._replaced(rows, {"kind": "zorder", "columns": list(columns)}))
 

@@ -38,6 +38,12 @@ def sizes(spark: SparkSession, path: str) -> dict[str, int]:
     return {s.getPath().getName(): s.getLen() for s in fs.listStatus(where) if s.isFile()} if fs.exists(where) else {}
 
 
+def count(spark: SparkSession, pattern: str) -> int:
+    """How many files a pattern of names finds."""
+    fs, where = _at(spark, pattern)
+    return len(fs.globStatus(where))
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, where = _at(spark, path)
     stream = fs.open(where)

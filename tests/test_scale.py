@@ -1,8 +1,11 @@
 """What a task gets is bounded: it doesn't grow with the table."""
 
+import random
+
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
+from lithic.functions import zorder
 from lithic.operators.table import Table
 from lithic.plans import interop_queries, lifecycle_queries, table_queries
 
@@ -37,6 +40,34 @@ def test_statistics_of_texts_need_no_sort_of_rows(spark, tmp_path, monkeypatch):
     assert m["bytes"] > 0
 
 
+def test_small_segments_are_rewritten_by_few_tasks(spark, tmp_path):
+    rows = spark.range(40_000).select("id", ((F.col("id") * 7919) % 211).alias("k"))
+    t = Table.create_as(spark, f"file://{tmp_path}/t", rows, row_group_rows=1000)
+    assert t._parts() == 1
+    t.cluster("id", "k")
+    assert t.manifest().count() == 40 and t.scan().count() == 40_000
+    segments = [r.segment for r in t.manifest().select("segment").collect()]
+    assert t._paths(segments) == [segments[0].rsplit("/", 1)[0]]  # one listing, not one a segment
+    assert sorted(t._paths(segments[1:])) == sorted(segments[1:])
+    assert t.scan((F.col("id") >= 0) & (F.col("k") < 5)).count() == rows.where("k < 5").count()
+
+
+def test_keys_interleave_bits_in_order(spark):
+    def plain(values):
+        return "".join(format(v, f"0{zorder.BITS}b")[i] for i in range(zorder.BITS) for v in values)
+
+    top, random_ = (1 << zorder.BITS) - 1, random.Random(5)
+    for n in (1, 2, 3, 5):
+        rows = [tuple(random_.choice((0, 1, top, random_.randrange(top), random_.randrange(9))) for _ in range(n)) for _ in range(200)]
+        df = spark.createDataFrame(rows, [f"c{k}" for k in range(n)])
+        got = df.select("*", zorder.interleaved([F.col(f"c{k}").cast("long") for k in range(n)]).alias("z")).orderBy("z").collect()
+        words = [plain(r[:n]) for r in got]
+        assert words == sorted(words) and len({r.z for r in got}) == len(set(rows))
+    few = spark.createDataFrame([(None, 1.0), (3, 1.0), (9, 1.0)], "a long, b double")
+    z = {r.a: r.z for r in few.select("a", zorder.zorder_key(few, ["a", "b"]).alias("z")).collect()}
+    assert z[None] < z[3] < z[9]
+
+
 def test_estimate_and_exact_count_are_aggregated_apart(spark, sf):
     df = interop_queries.approx_distinct(spark, sf)
     plan = df._jdf.queryExecution().sparkPlan().toString()
