@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from lithic.operators.predicate import Compare, between
+from lithic.operators.table import ROWS_A_TASK
 from lithic.session import load, workspace
 from lithic.sources import avro
 from lithic.sources.snapshot_writer import SnapshotWriter
@@ -14,11 +15,12 @@ from lithic.sources.snapshots import _bytes
 
 
 def _orders(spark, d, **options) -> SnapshotWriter:
-    """Orders in two appends, partitioned by status, each cut into ranges of the key."""
+    """Orders in two appends, partitioned by status, each cut into ranges of the key: three, or more where a task would write too many rows."""
     rows = load(spark, d, "orders")
+    parts = max(3, -(-rows.count() // (2 * ROWS_A_TASK)))
     w = SnapshotWriter(spark, workspace(spark, "lake"), rows.schema, ["o_orderstatus"], **options)
     for half in (0, 1):
-        w.append(rows.where(F.col("o_orderkey") % 2 == half).repartitionByRange(3, "o_orderkey"))
+        w.append(rows.where(F.col("o_orderkey") % 2 == half).repartitionByRange(parts, "o_orderkey"))
     return w
 
 

@@ -12,6 +12,7 @@ import re
 import struct
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +91,9 @@ class SnapshotWriter:
         ends = [x for k, n in enumerate(bounded) for x in (F.min(f"`{shown[n]}`").alias(f"lo{k}"), F.max(f"`{shown[n]}`").alias(f"hi{k}"))]
         back = self.spark.read.option("recursiveFileLookup", "true").schema(T.StructType([T.StructField(shown[f.name], f.dataType) for f in self.schema])).parquet(where)
         meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")]
-        stats = back.select("*", *meta).groupBy("file", "bytes").agg(F.count(F.lit(1)).alias("n"), *[F.first(f"`{shown[n]}`").alias(f"p{k}") for k, n in enumerate(self.partition)], *ends)
+        # A file's rows have one value of each partition column: as a key it needs no sort, as a first value a text would.
+        place = [F.col(f"`{shown[n]}`").alias(f"p{k}") for k, n in enumerate(self.partition)]
+        stats = back.select("*", *meta).groupBy("file", "bytes", *place).agg(F.count(F.lit(1)).alias("n"), *ends)
         found = []
         for r in stats.orderBy("file").collect():
             sides = [[{"key": self.ids[n], "value": struct.pack(_BOUNDS[type(self.schema[n].dataType)], r[f"{side}{k}"])} for k, n in enumerate(bounded) if r[f"{side}{k}"] is not None] for side in ("lo", "hi")]
@@ -99,7 +102,9 @@ class SnapshotWriter:
 
     def delete_positions(self, predicate: Column) -> None:
         """Delete matching rows by position-delete files."""
-        gone = self._places(predicate).select(F.col("__file").alias("file_path"), F.col("__pos").alias("pos"))
+        paths, places = self._places(predicate)
+        names = self.spark.createDataFrame(list(enumerate(paths)), "__nth int, file_path string")
+        gone = places.join(F.broadcast(names), "__nth").select("file_path", F.col("__pos").alias("pos"))
         self._commit("delete", 1, self._delete_files(1, gone.sort("file_path", "pos")))
 
     def delete_equal(self, values: DataFrame) -> None:
@@ -111,23 +116,33 @@ class SnapshotWriter:
         """Delete matching rows by deletion vectors in one Puffin file; format 3 only."""
         if self.version < 3:
             raise ValueError("deletion vectors need format 3")
-        pack = lambda g: pd.DataFrame({"file": [g["__file"].iloc[0]], "blob": [deletion_vectors.encode(g["__pos"].to_numpy())], "n": [len(g)]})
-        vectors = self._places(predicate).groupBy("__file").applyInPandas(pack, "file string, blob binary, n long").orderBy("file").collect()
-        where, body, footer, found = f"{self.folder}/data/{uuid.uuid4().hex}.puffin", deletion_vectors.PUFFIN, [], []
-        for v in vectors:
-            footer.append({"type": "deletion-vector-v1", "fields": [], "snapshot-id": -1, "sequence-number": -1, "offset": len(body), "length": len(v.blob), "properties": {"referenced-data-file": v.file, "cardinality": str(v.n)}})
-            found.append(self._file(1, where, v.n, 0, {}) | {"file_format": "PUFFIN", "referenced_data_file": v.file, "content_offset": len(body), "content_size_in_bytes": len(v.blob)})
-            body += bytes(v.blob)
+
+        def pack(g: pd.DataFrame) -> pd.DataFrame:
+            low = np.unique(g["__pos"].to_numpy() & 0xFFFF)
+            return pd.DataFrame({"nth": [g["__nth"].iloc[0]], "part": [g["__pos"].iloc[0] >> 16], "n": [len(low)], "raw": [deletion_vectors.container(low)]})
+
+        # Python sees one container at a time, at most 65,536 positions, and numbers in the place of files' names.
+        paths, places = self._places(predicate)
+        by: dict[int, dict[int, tuple[int, bytes]]] = {}
+        for r in places.groupBy("__nth", F.shiftright("__pos", 16).alias("__part")).applyInPandas(pack, "nth int, part long, n long, raw binary").collect():
+            by.setdefault(r.nth, {})[r.part] = (r.n, bytes(r.raw))
+        where, body, footer, found = f"{self.folder}/data/{uuid.uuid4().hex}.puffin", bytearray(deletion_vectors.PUFFIN), [], []
+        for nth in sorted(by, key=lambda k: paths[k]):
+            file, n, blob = paths[nth], sum(c[0] for c in by[nth].values()), deletion_vectors.assemble(by[nth])
+            footer.append({"type": "deletion-vector-v1", "fields": [], "snapshot-id": -1, "sequence-number": -1, "offset": len(body), "length": len(blob), "properties": {"referenced-data-file": file, "cardinality": str(n)}})
+            found.append(self._file(1, where, n, 0, {}) | {"file_format": "PUFFIN", "referenced_data_file": file, "content_offset": len(body), "content_size_in_bytes": len(blob)})
+            body += blob
         note = json.dumps({"blobs": footer}).encode()
         body += deletion_vectors.PUFFIN + note + struct.pack("<ii", len(note), 0) + deletion_vectors.PUFFIN
-        files.create_bytes(self.spark, where, body)
+        files.create_bytes(self.spark, where, bytes(body))
         self._commit("delete", 1, [f | {"file_size_in_bytes": len(body)} for f in found])
 
-    def _places(self, predicate: Column) -> DataFrame:
+    def _places(self, predicate: Column) -> tuple[list[str], DataFrame]:
+        """The data files, and __nth (a place in that list) and __pos of the matching rows."""
         table = self.table()
-        paths = {re.sub("^[a-z0-9]+:/+", "/", f.path): f.path for f in table.live_files() if f.content == 0}
-        whole = self.spark.createDataFrame(list(paths.items()), "__file string, path string")
-        return table._read(list(paths.values())).where(predicate).select("__file", "__pos").join(whole, "__file").select(F.col("path").alias("__file"), "__pos")
+        paths = [f.path for f in table.live_files() if f.content == 0]
+        whole = self.spark.createDataFrame([(re.sub("^[a-z0-9]+:/+", "/", p), k) for k, p in enumerate(paths)], "__file string, __nth int")
+        return paths, table._read(paths).where(predicate).select("__file", "__pos").join(F.broadcast(whole), "__file").select("__nth", "__pos")
 
     def _delete_files(self, content: int, rows: DataFrame, ids: list[int] | None = None) -> list[dict]:
         where = f"{self.folder}/data/{uuid.uuid4().hex}"

@@ -17,6 +17,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 from lithic.operators.predicate import Both, Compare, Predicate
 from lithic.sources import avro, files
 
+#: Positions of a deletion vector that become rows at once.
+SLICE = 65_536
 EPOCH = datetime.date(1970, 1, 1)
 _PLAIN = {"boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "date": T.DateType(), "string": T.StringType(), "binary": T.BinaryType(), "timestamp": T.TimestampNTZType(), "timestamptz": T.TimestampType(), "uuid": T.StringType()}
 
@@ -227,8 +230,11 @@ class SnapshotTable:
             if positions:
                 gone = self.spark.read.schema("file_path string, pos long").parquet(*positions).select(_bare_column("file_path").alias("__file"), F.col("pos").alias("__pos"))
                 rows = rows.join(gone, ["__file", "__pos"], "left_anti")
-            if vectors:
-                rows = rows.join(self._unpacked(vectors), ["__file", "__pos"], "left_anti")
+            numbers = {_bare(f.path): k for k, f in enumerate(kept)}
+            if vectors := [f for f in vectors if _bare(f.vector[0]) in numbers]:
+                # Joined by the files' numbers: their names would be most of a row.
+                whole = self.spark.createDataFrame(list(numbers.items()), "__file string, __nth int")
+                rows = rows.join(F.broadcast(whole), "__file").join(self._unpacked(vectors, numbers), ["__nth", "__pos"], "left_anti")
             if equality:
                 rows = self._without(rows, kept, equality)
         if predicate is not None:
@@ -282,21 +288,24 @@ class SnapshotTable:
         with ThreadPoolExecutor(16) as pool:
             return list(pool.map(names, paths))
 
-    def _unpacked(self, vectors: list[DataFile]) -> DataFrame:
-        """__file and __pos of rows that deletion vectors name; executors read the blobs."""
+    def _unpacked(self, vectors: list[DataFile], numbers: dict[str, int]) -> DataFrame:
+        """__nth, a data file's number, and __pos of rows that deletion vectors name; executors read the blobs."""
         from lithic.sources import deletion_vectors
 
-        listed = self.spark.createDataFrame([(_bare(f.path), _bare(f.vector[0]), f.vector[1], f.vector[2]) for f in vectors], "at string, __file string, start long, size long")
+        listed = self.spark.createDataFrame([(_bare(f.path), numbers[_bare(f.vector[0])], f.vector[1], f.vector[2]) for f in vectors], "at string, __nth int, start long, size long")
         blobs = self.spark.read.format("binaryFile").load(sorted({f.path for f in vectors})).select(_bare_column("path").alias("at"), "content")
-        blobs = blobs.join(F.broadcast(listed), "at").select("__file", F.expr("substring(content, CAST(start AS INT) + 1, CAST(size AS INT))").alias("blob"))
+        blobs = blobs.join(F.broadcast(listed), "at").select("__nth", F.expr("substring(content, CAST(start AS INT) + 1, CAST(size AS INT))").alias("blob"))
 
         def unpack(batches):
             for b in batches:
-                for name, blob in zip(b.column("__file").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                    at = deletion_vectors.decode(blob)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64())], ["__file", "__pos"])
-
-        return blobs.mapInArrow(unpack, "__file string, __pos long")
+                for nth, blob in zip(b.column("__nth").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                    whole = deletion_vectors.decode(blob)
+                    for k in range(0, len(whole), SLICE):
+                        at = whole[k : k + SLICE]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), nth, np.int32)), pa.array(at, pa.int64())], ["__nth", "__pos"])
+
+        # One task reads a Puffin file; the vectors, which are small, are dealt out before they become rows.
+        return blobs.repartition(min(len(vectors), 1000), "__nth").mapInArrow(unpack, "__nth int, __pos long")
 
     def _scope(self, f: DataFile) -> str | None:
         """What a file's equality deletes reach: its own partition, or everything where its spec has no fields."""

@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from lithic.functions import zorder
 from lithic.operators.table import Table
 from lithic.plans import interop_queries, lifecycle_queries, table_queries
+from lithic.sources import deletion_vectors as dv
+from lithic.sources.snapshot_writer import SnapshotWriter
 
 
 def test_counters_of_six_segments_hold_over_a_large_table(spark, tmp_path):
@@ -74,3 +77,24 @@ def test_estimate_and_exact_count_are_aggregated_apart(spark, sf):
     grouped = [line for line in plan.splitlines() if "HashAggregate(keys=[o_custkey" in line]
     assert grouped and not any("approx_count_distinct" in line for line in grouped)
     assert [r.close for r in df.collect()] == [True]
+
+
+def test_vectors_are_packed_by_container(spark, tmp_path, monkeypatch):
+    """No group and no batch holds a file's positions at once, and no group its name."""
+    groups, encode = [], DataFrame.groupBy
+    monkeypatch.setattr(DataFrame, "groupBy", lambda df, *c: (groups.append((df.columns, len(c))), encode(df, *c))[1])
+    rows = spark.range(200_000).select("id", (F.col("id") * 2).alias("v"))
+    w = SnapshotWriter(spark, f"file://{tmp_path}/t", rows.schema, version=3)
+    w.append(rows.coalesce(1))
+    groups.clear()
+    w.delete_vectors((F.col("id") % 3 == 0) | (F.col("id") > 150_000) & (F.col("id") < 199_990))
+    assert groups == [(["__nth", "__pos"], 2)]
+    monkeypatch.undo()
+    want = {k for k in range(200_000) if k % 3 and not 150_000 < k < 199_990}
+    assert {r.id for r in w.table().scan().collect()} == want
+
+
+def test_assembled_vectors_are_those_of_all_positions():
+    at = np.array([0, 5, 65_535, 65_536, *range(131_072, 190_000), 1 << 33, (1 << 33) + 70_000], np.int64)
+    parts = {int(k): (int((at >> 16 == k).sum()), dv.container(at[at >> 16 == k] & 0xFFFF)) for k in np.unique(at >> 16)}
+    assert dv.assemble(parts) == dv.encode(at) and (dv.decode(dv.encode(at)) == at).all()
